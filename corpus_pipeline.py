@@ -1,24 +1,64 @@
-"""The corpus pipeline: documents in, packed training windows out."""
+"""The corpus pipeline: documents in, packed training windows out.
+
+Each stage works on all that the one before it kept and is written before the next
+reads it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import toxicity
-from tessera.llm.catalog import labels
+from tessera.llm import decontam, linededup, neardup, packing, textops, toxicity
+from tessera.llm.catalog import benchmark, labels
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.without_toxic(spark, docs, toxicity.train(spark, docs, labels(spark, sf_dir)))
+    """Documents that the toxicity model rejects go."""
+    whole = textops.documents(spark, sf_dir)
+    return toxicity.without_toxic(spark, docs, toxicity.train(spark, whole, labels(spark, sf_dir)))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line matches go, and documents of which nothing is left."""
+    return linededup.without_repeated_lines(spark, docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near-duplicates stays."""
+    return neardup.deduplicated(spark, docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.decontaminated(spark, docs, benchmark(spark, sf_dir))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training windows of what is left."""
+    return packing.pack(spark, docs)
 
 
-STAGES = [("toxicity", drop_toxic)]
-#: SQL can't train dictionaries; tests hold each stage against brute force.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+#: SQL can't train dictionaries or count tokens; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+    """The rows of the last stage. What the stages before it keep is written to the shared folder, a table for each."""
+    textops.shared_folder(spark)
+    folder = posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4()}")
+    docs = textops.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        out = posixpath.join(folder, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,34 @@
+"""Connected components by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .textops import shared_folder
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(id, root) of every node of edges (a, b); root is the least id of its component.
+
+    Each round is one grouping by node, and rounds are logarithmic in the graph's size;
+    each is written to the shared folder, so that a lost executor costs one round.
+    """
+    shared_folder(spark)
+    by_u = Window.partitionBy("u")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().checkpoint()
+    before = None
+    while True:
+        both = edges.union(edges.select(F.col("v"), F.col("u")))
+        least = both.withColumn("m", F.least(F.min("v").over(by_u), F.col("u")))
+        large = least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = large.withColumn("m", F.min("v").over(by_u))
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # a neighbour other than the least one is linked to it, and so is the node itself, by its own row
+        edges = small.where("u != v").distinct().checkpoint()
+        now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

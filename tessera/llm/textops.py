@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,38 +179,57 @@ def in_slices(fn, schema: pa.Schema, column: str = "text"):
     return run
 
 
+#: Tasks whose tables are merged at a time.
+FAN_IN = 128
+
+
 def merged_blocks(blocks: DataFrame, how: str) -> np.ndarray:
-    """Tables that tasks sent as rows (block int, data binary of uint8), merged by addition up to 255 or by `or`.
+    """Tables that tasks sent with as_blocks, merged: `or` of bits, or `log`, the logarithm of the sum.
 
-    The result is as large as one task's table, whatever the input.
+    Logarithms are bytes: 0 and 1 stand for a sum of 0 and 1, x >= 2 for about 2 ** ((x + 6) / 8). The merging is a tree of
+    FAN_IN tables to a group, and the result is as large as one task's table, whatever the input.
     """
-    schema = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+    add = how == "log"
+    dtype = np.uint32 if add else np.uint8
 
     def merge(table: pa.Table) -> pa.Table:
         out = None
         for data in table.column("data"):
-            x = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+            x = np.frombuffer(zlib.decompress(data.as_py()), dtype)
             if out is None:
-                out = x.astype(np.uint16)
-            elif how == "or":
-                out |= x
+                out = x.astype(np.uint64 if add else dtype)
+            elif add:
+                out += x
             else:
-                out = np.minimum(out + x, 255)
-        return pa.Table.from_arrays([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([out.astype(np.uint8).tobytes()], pa.binary())], schema=schema)
+                out |= x
+        if add:
+            out = np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+        b, part = (table.column(c)[0].as_py() for c in ("block", "part"))
+        return pa.Table.from_pydict({"block": [b], "part": [part], "data": [zlib.compress(out.tobytes(), 1)]}, BLOCKS)
+
+    tasks = blocks.rdd.getNumPartitions()
+    while True:
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(merge, "block int, part int, data binary")
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
+    rows = sorted((r.block, bytes(r.data)) for r in blocks.collect())
+    out = np.concatenate([np.frombuffer(zlib.decompress(d), dtype) for _, d in rows]) if rows else np.zeros(0, dtype)
+    return np.where(out < 2, out, 2 + 8 * np.log2(np.maximum(out, 2) / 2)).astype(np.uint8) if add else out
+
 
-    rows = sorted(blocks.groupBy("block").applyInArrow(merge, "block int, data binary").collect())
-    return np.concatenate([np.frombuffer(r.data, np.uint8) for r in rows]) if rows else np.zeros(0, np.uint8)
+BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
 
 def as_blocks(table: np.ndarray, block: int = 1 << 18) -> pa.RecordBatch:
     parts = [zlib.compress(table[i : i + block].tobytes(), 1) for i in range(0, len(table), block)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "data"])
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=BLOCKS)
 
 
 def shared_folder(spark: SparkSession) -> None:
     """checkpoint() goes to the cluster's shared folder; a folder of our own serves only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             import tempfile
