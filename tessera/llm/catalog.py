@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, neardup, packing, tokens, toxicity
+from . import decontam, gif, langid, linededup, neardup, packing, quality, secrets, tokens, toxicity
 from .textops import documents
 
 
@@ -22,6 +22,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removed_lines(spark, documents(spark, sf_dir))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(spark, docs, secrets.train(spark, docs))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, documents(spark, sf_dir), benchmark(spark, sf_dir))
 
@@ -43,10 +48,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir))
 
 
+def op8_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images, so each vector of `embeddings` is drawn as one, which the operator then decodes."""
+    return gif.frames(gif.thumbnails(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, known = documents(spark, sf_dir), labels(spark, sf_dir)
+    return quality.quality(spark, docs, known, spark.read.parquet(f"{sf_dir}/pages.parquet"), quality.train(spark, docs, known))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(spark, docs, langid.train(spark, docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_decontamination, op4_toxicity, op5_token_counts, op6_near_duplicates, op7_packing, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_secrets, op3_decontamination, op4_toxicity, op5_token_counts, op6_near_duplicates, op7_packing, op8_gif_frames, op9_quality, op10_language)}
 ORACLES: dict[str, str] = {}
