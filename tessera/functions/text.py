@@ -79,8 +79,7 @@ def analyze(text: Column | str, min_length: int = 1, stop: Sequence[str] = ()) -
     return F.filter(found, lambda t: (F.char_length(t) >= min_length) & (~F.array_contains(_words(list(stop)), t) if stop else F.lit(True)))
 
 
-@pandas_udf("array<struct<text:string,start:int,end:int,position:int>>")
-def analyze_with_offsets(text: pd.Series) -> pd.Series:
+def analyze_with_offsets(text: Column | str) -> Column:
     """Tokens with byte offsets into the text and their positions."""
     import regex
 
@@ -97,7 +96,11 @@ def analyze_with_offsets(text: pd.Series) -> pd.Series:
             at, byte = m.end(), byte + size
         return out
 
-    return text.map(one)
+    @pandas_udf("array<struct<text:string,start:int,end:int,position:int>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(_col(text))
 
 
 def phrase_terms(text: Column | str, stop: Sequence[str] = ()) -> Column:
@@ -155,10 +158,14 @@ def _winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     """Jaro-Winkler similarity regardless of case; two empty strings are equal."""
-    return pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b)], dtype=float)
+
+    @pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b)], dtype=float)
+
+    return run(_col(a), _col(b))
 
 
 def _alias(query: str, phrases: list[str]) -> tuple[float, str]:
@@ -199,10 +206,14 @@ def _alias(query: str, phrases: list[str]) -> tuple[float, str]:
     return best
 
 
-@pandas_udf("struct<score:double,reason:string>")
-def alias_score(query: pd.Series, phrases: pd.Series) -> pd.DataFrame:
+def alias_score(query: Column | str, phrases: Column | str) -> Column:
     """Score and reason of the best of a phrase and its aliases (an array, the phrase first) for each query."""
-    return pd.DataFrame([_alias(q or "", list(p) if p is not None else []) for q, p in zip(query, phrases)], columns=["score", "reason"])
+
+    @pandas_udf("struct<score:double,reason:string>")
+    def run(query: pd.Series, phrases: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_alias(q or "", list(p) if p is not None else []) for q, p in zip(query, phrases)], columns=["score", "reason"])
+
+    return run(_col(query), _col(phrases))
 
 
 def line_number(text: Column | str, offset: Column | int) -> Column:
@@ -226,11 +237,9 @@ def metadata(path: Column | str, text: Column | str) -> Column:
     lines = _headed(_col(text))
     named = F.filter(lines, lambda x: x.startswith("title:") | x.startswith("Title:"))
     last = F.element_at(named, -1)
-    title = F.btrim(F.trim(F.substring_index(last, ":", -(10**6))), F.lit("\\\"'"))
     given = F.btrim(F.trim(F.regexp_replace(last, "^[Tt]itle:", "")), F.lit("\\\"'"))
     stem = F.regexp_replace(F.regexp_extract(_col(path), r"([^/]*)$", 1), r"\.[^.]*$", "")
     heads = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("#")), lambda x: F.trim(F.regexp_replace(x, "^#+", ""))), lambda x: x != "")
-    del title
     return F.struct(F.when(F.size(named) > 0, given).otherwise(stem).alias("title"), heads.alias("headings"))
 
 
@@ -374,7 +383,7 @@ def span_text(text: Column | str, start: Column, end: Column) -> Column:
     """The text of a half-open byte range, or null where it doesn't lie on character boundaries."""
     raw = F.encode(_col(text), "UTF-8")
     part = F.substring(raw, start + 1, end - start)
-    return F.when((start >= 0) & (end >= start) & (end <= F.octet_length(_col(text))), F.expr("null").cast("string") if False else F.when(F.is_valid_utf8(part.cast("string")), part.cast("string")))
+    return F.when((start >= 0) & (end >= start) & (end <= F.octet_length(_col(text))), F.when(F.is_valid_utf8(part.cast("string")), part.cast("string")))
 
 
 def byte_offset(text: Column | str, characters: Column) -> Column:
