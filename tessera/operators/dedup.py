@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import dot, normalize
 from ..sources.shared import shared_folder
 
 
@@ -92,11 +92,11 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_column: str = "vec_id"
     Blocks of ids are paired, so that the comparison spreads over blocks ** 2 / 2 tasks and no side is broadcast.
     """
     n = 16
-    v = vectors.where(F.size(vector) > 0).select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    v = vectors.where(F.size(vector) > 0).select(F.col(id_column).alias("id"), normalize(F.col(vector)).alias("v")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     left = v.select(F.col("id").alias("a"), F.col("v").alias("va"), "blk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
     right = v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("blk").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"))
     both = left.join(right, ["blk", "o"]).where("a < b")
-    return both.withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return both.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

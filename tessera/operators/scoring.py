@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filename_overlap, keyword_overlap, overlap_tokens
+from ..functions.text import filename_overlap, keyword_overlap, overlap_ratio, overlap_tokens
 from ..functions.vector import clamp01, cosine, unit_interval
 
 SIGNALS = ("embedding", "keyword", "filename", "recency", "importance")
@@ -36,12 +36,23 @@ def weight_columns(weights: Weights, query: Column | None = None, adaptive: bool
     return out
 
 
+def with_tokens(rows: DataFrame, column: str) -> DataFrame:
+    """The overlap tokens of `query` or `content` as a column, computed before queries and contents are paired."""
+    t = overlap_tokens(column)
+    return rows.withColumn(f"{column}_tokens", t if column == "query" else F.array_distinct(t))
+
+
 def raw_signals(pairs: DataFrame) -> DataFrame:
-    """Signals of rows with (query, q, content, v, filename); null where an input is absent, which isn't the same as 0."""
+    """Signals of rows with (query, q, content, v, filename); null where an input is absent, which isn't the same as 0.
+
+    Rows that come with_tokens() of both sides aren't tokenised again for every pair.
+    """
     present = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    ready = {"query_tokens", "content_tokens"} <= set(pairs.columns)
+    keyword = overlap_ratio(F.col("query_tokens"), F.col("content_tokens")) if ready else keyword_overlap("query", "content")
     return (
         pairs.withColumn("raw_embedding", F.when((F.size("q") > 0) & (F.size("v") > 0), cosine(F.col("q"), F.col("v"))))
-        .withColumn("raw_keyword", F.when(present("query") & present("content"), keyword_overlap("query", "content")))
+        .withColumn("raw_keyword", F.when(present("query") & present("content"), keyword))
         .withColumn("raw_filename", F.when(present("query") & present("filename"), filename_overlap("filename", "query")))
     )
 

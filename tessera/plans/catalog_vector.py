@@ -40,9 +40,9 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {E_CTE}, s AS ({PAIRS}) SELECT query_id, grp, chunk_index, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH {E_CTE}, s AS ({PAIRS}) SELECT query_id, grp, chunk_index, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 10")
 def exact_vector_topk(spark, d):
-    return _ranked(rounded(vectors.exact_search(vector_queries(spark, d), vector_table(spark, d), 10)))
+    return _ranked(rounded(vectors.exact_search(vector_queries(spark, d), vector_table(spark, d), 10), 5))
 
 
 @query(f"WITH {E_CTE}, s AS ({PAIRS} WHERE b.chunk_index % 3 = 0) SELECT query_id, grp, chunk_index, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5")
@@ -53,9 +53,9 @@ def semi_join_keys(spark, d):
     return _ranked(rounded(vectors.search_keys(vector_queries(spark, d), v, keys.union(keys), 5)))
 
 
-@query(f"WITH {E_CTE}, s AS ({PAIRS} WHERE b.grp IN (1, 4, 7)) SELECT query_id, grp, chunk_index, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5")
+@query(f"WITH {E_CTE}, s AS ({PAIRS} WHERE b.grp IN (1, 4, 7)) SELECT query_id, grp, chunk_index, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5")
 def filtered_groups(spark, d):
-    return _ranked(rounded(vectors.search_groups(vector_queries(spark, d), vector_table(spark, d), [1, 4, 7], 5)))
+    return _ranked(rounded(vectors.search_groups(vector_queries(spark, d), vector_table(spark, d), [1, 4, 7], 5), 5))
 
 
 @query(f"WITH {E_CTE}, s AS (SELECT query_id, grp, max(score) AS score FROM ({PAIRS}) GROUP BY 1, 2) SELECT query_id, grp, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp) AS rank, -1 AS chunk_index FROM s QUALIFY rank <= 3")
@@ -266,7 +266,7 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 def _hybrid_pairs(spark, d) -> DataFrame:
     q = table(spark, d, "benchmark").join(_emb(spark, d), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("q"))
     c = _emb(spark, d).join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("text").alias("content"))
-    return vectors.paired(q, c).withColumn("filename", F.lit(None).cast("string"))
+    return vectors.paired(scoring.with_tokens(q, "query"), scoring.with_tokens(c, "content")).withColumn("filename", F.lit(None).cast("string"))
 
 
 @query(f"WITH {HYB} SELECT query_id, id, round(score, 6) AS score, rank FROM hr WHERE rank <= 10")
