@@ -53,7 +53,10 @@ class Engine:
 
     def _pairs(self, queries: DataFrame, filters: dict | None) -> DataFrame:
         q = queries.where(F.coalesce(F.trim("query"), F.lit("")) != "").select("query_id", "query", self.embed(F.col("query")).cast("array<double>").alias("q"))
-        return paired(scoring.with_tokens(q, "query"), scoring.with_tokens(self._rows(filters).withColumnRenamed("embedding", "v"), "content"))
+        rows = self._rows(filters).withColumnRenamed("embedding", "v")
+        both = scoring.raw_signals(paired(scoring.with_tokens(q, "query"), scoring.with_tokens(rows, "content")))
+        # what is ranked are ids and signals; texts come back for the results only
+        return both.select("query_id", "query", "id", "raw_embedding", "raw_keyword", "raw_filename", "recency_score", "importance_score")
 
     def search(self, queries: DataFrame, options: Options = Options()) -> DataFrame:
         """(query_id, rank, id, document_id, filename, content, score[, explain]) of the best chunks; blank queries have no rows.
@@ -63,11 +66,13 @@ class Engine:
         """
         pairs = self._pairs(queries, options.filters)
         found = self._fused(pairs, options) if options.rrf else self._hybrid(pairs, options)
-        keep = ["query_id", "query", "id", "document_id", "filename", "content", "v", "score", *(["explain"] if options.explain else [])]
-        found = found.select(*keep, F.col("place").alias("rank"))
+        k = options.top_k
+        found = found.select("query_id", "query", "id", "score", *(["explain"] if options.explain else []), F.col("place").alias("rank"))
+        if k is not None and options.mmr is None and not options.reranker:
+            found = found.where(F.col("rank") <= max(k, 0))
+        found = found.join(self.store.read().select("id", "document_id", "filename", "content", F.col("embedding").alias("v")), "id")
         if options.reranker:
             found = search.rerank(found, options.reranker).drop("rank", "previous_rank").withColumnRenamed("rerank_rank", "rank")
-        k = options.top_k
         if options.mmr is not None:
             picked = search.mmr(found.withColumnRenamed("id", "doc_id"), k if k is not None else 1 << 30, options.mmr).select("query_id", F.col("doc_id").alias("id"), F.col("mmr_rank").alias("__r"))
             found = found.join(picked, ["query_id", "id"]).drop("rank").withColumnRenamed("__r", "rank")

@@ -129,8 +129,12 @@ def hard_limit(pieces: list[Piece], size: int, text: str) -> list[Piece]:
     return out
 
 
-def _cascade(text: str, size: int) -> list[str]:
-    for cut, by in ((lambda t: [p.text for p in paragraphs(t)], "\n\n"), (lambda t: [s.text for s in sentences(t)], " "), (str.split, " ")):
+_LEVELS = ((lambda t: [p.text for p in paragraphs(t)], "\n\n"), (lambda t: [s.text for s in sentences(t)], " "), (str.split, " "))
+
+
+def _cascade(text: str, size: int, level: int = 0) -> list[str]:
+    for k in range(level, len(_LEVELS)):
+        cut, by = _LEVELS[k]
         parts = cut(text)
         if len(parts) < 2:
             continue
@@ -148,7 +152,7 @@ def _cascade(text: str, size: int) -> list[str]:
             if len(longer) <= size:
                 now = longer
             else:
-                out += _cascade(longer, size)
+                out += _cascade(longer, size, k + 1)
                 now = ""
         return out + [now] if now else out
     return [text[i : i + size] for i in range(0, len(text), size)]

@@ -61,10 +61,10 @@ def hybrid(pairs: DataFrame, weights: Weights = DEFAULT, adaptive: bool = False,
     """Scores of the rows of each query: text signals are scaled to 0..1 over the rows that have them, then weighted.
 
     One row has its raw signals; a signal that is the same everywhere becomes 0.5; one that is absent stays 0. Recency and
-    importance come with the rows, if at all, and aren't scaled.
+    importance come with the rows, if at all, and aren't scaled. Rows that have raw_signals() already needn't carry the texts.
     """
     w = Window.partitionBy(by)
-    rows = raw_signals(pairs)
+    rows = pairs if "raw_embedding" in pairs.columns else raw_signals(pairs)
     for s in SIGNALS[:3]:
         raw = F.col(f"raw_{s}")
         lo, hi, n = F.min(raw).over(w), F.max(raw).over(w), F.count("*").over(w)
