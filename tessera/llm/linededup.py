@@ -7,7 +7,7 @@ Lines with equal sets are represented by the earliest. The others are joined by
 filtering: tokens are ordered by rarity, and two similar sets must share one of their
 rarest few. Rarity comes from a table of hashed counts of fixed size, built over all
 lines; any fixed order would be right, and a token whose count there is 1 is on one line
-only and needs no row. A row (token, size, position, 64-bit set signature) is pruned in
+only and needs no row. A row (token, size, position, 91-bit set signature) is pruned in
 the join's condition by length, by position and by how far signatures differ. What is
 left is verified on the full sets: first each line's earliest partner, and, only where
 that fails, all its other partners. So copies of a passage in thousands of documents
@@ -35,6 +35,10 @@ MIN_TOKENS = 3
 BUCKETS = 1 << 24
 
 
+#: Bits of a set's signature beyond 64.
+_EXTRA = 27
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64)
 
@@ -66,11 +70,11 @@ def _at_least(size: np.ndarray) -> np.ndarray:
     return -(-NUM * size // DEN)
 
 
-TAGGED = "set_a long, set_b long, doc_id long, line_no int, size int, signature long, tokens binary"
+TAGGED = "set_a long, set_b long, doc_id long, line_no int, size int, signature long, extra int, tokens binary"
 
 
 def _lines(rarity):
-    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("signature", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("signature", pa.int64()), ("extra", pa.int32()), ("tokens", pa.binary())])
 
     def rows(batch, texts):
         w = T.words(texts)
@@ -82,7 +86,11 @@ def _lines(rarity):
         pos = T.run_positions(start, len(line))
         row = np.repeat(np.arange(len(start)), size)
         a, b = np.add.reduceat(T.mix(h), start), np.add.reduceat(T.mix(h ^ np.uint64(0x5851F42D4C957F2D)), start)
-        signature = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), start)
+        bit = (h & np.uint64(0xFFFFFFFF)) % np.uint64(64 + _EXTRA)
+        # a bit is the parity of the tokens that fall on it, so that signatures of long lines don't fill up
+        flip = np.where(bit < 64, np.uint64(1) << np.minimum(bit, np.uint64(63)), np.uint64(0))
+        signature = np.bitwise_xor.reduceat(flip, start)
+        extra = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), np.uint64(1) << (np.maximum(bit, np.uint64(64)) - np.uint64(64))), start)
         probe = (pos < (size - _at_least(size) + 1)[row]) & (q != 1)
         packed = (((q[probe].astype(np.uint64) << np.uint64(36)) | (h[probe] >> np.uint64(28))) << np.uint64(16)) | np.minimum(pos[probe], 0xFFFF).astype(np.uint64)
         bounds = np.concatenate(([0], np.cumsum(np.bincount(row[probe], minlength=len(start)))))
@@ -91,45 +99,74 @@ def _lines(rarity):
         tokens = [raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in keep.tolist()]
         line = line[start][keep]
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        return T.signed(a[keep]), T.signed(b[keep]), ids[w.line_doc[line]], w.line_no[line], size[keep], T.signed(signature[keep]), tokens
+        return T.signed(a[keep]), T.signed(b[keep]), ids[w.line_doc[line]], w.line_no[line], size[keep], T.signed(signature[keep]), extra[keep].astype(np.int32), tokens
 
     return T.in_slices(rows, schema)
 
 
-def _prefixes(batches):
-    """A row for each packed token."""
-    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("signature", pa.int64())])
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tokens = batch.column("tokens").to_pylist()
-        n = np.array([len(t) // 8 for t in tokens])
-        x = np.frombuffer(b"".join(tokens), np.uint64)
-        row = np.repeat(np.arange(len(n)), n)
-        rest = [batch.column(c).to_numpy()[row] for c in ("doc_id", "line_no", "size", "signature")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip([T.signed(x >> np.uint64(16)), (x & np.uint64(0xFFFF)).astype(np.int32), *rest], schema)], schema=schema)
-
-
-def _pairs(firsts: DataFrame) -> DataFrame:
-    """(later, earlier) of lines that pass the filters, each pair as often as tokens found it."""
-    rows = firsts.select("tokens", "doc_id", "line_no", "size", "signature").where(F.length("tokens") > 0)
-    rows = rows.mapInArrow(_prefixes, "token long, at int, doc_id long, line_no int, size int, signature long")
+def _prefixes(wanted=None):
+    """A row for each packed token; with a bitmap `wanted`, only for tokens that may be in it."""
+    schema = pa.schema([("token", pa.int64()), ("shape", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("signature", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("tokens").to_pylist()
+            n = np.array([len(t) // 8 for t in tokens])
+            x = np.frombuffer(b"".join(tokens), np.uint64)
+            row = np.repeat(np.arange(len(n)), n)
+            token, at = x >> np.uint64(16), (x & np.uint64(0xFFFF)).astype(np.int64)
+            if wanted is not None:
+                k = _bucket(T.mix(token))
+                some = np.flatnonzero((wanted.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1) if len(wanted.value) else np.zeros(0, np.int64)
+                token, at, row = token[some], at[some], row[some]
+            doc, line, size, signature, extra = (batch.column(c).to_numpy()[row] for c in ("doc_id", "line_no", "size", "signature", "extra"))
+            shape = (extra.astype(np.int64) << 36) | (size.astype(np.int64) << 12) | np.minimum(at, 4095)  # 27, 24 and 12 bits
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip([T.signed(token), shape, doc, line, signature], schema)], schema=schema)
+
+    return run
+
+
+def _pairs(firsts: DataFrame, wanted=None) -> DataFrame:
+    """(later, earlier) of lines that pass the filters, each pair as often as tokens found it.
+
+    Rows are shuffled once, and both sides of the self-join read that shuffle.
+    """
+    rows = firsts.select("tokens", "doc_id", "line_no", "size", "signature", "extra").where(F.length("tokens") > 0)
+    rows = rows.mapInArrow(_prefixes(wanted), "token long, shape long, doc_id long, line_no int, signature long").repartition("token")
     need = lambda total: F.expr(f"cast(({NUM} * ({total}) + {NUM + DEN - 1}) div {NUM + DEN} as int)")
-    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("at", "doc_id", "line_no", "size", "signature")))
-    # the shorter set of a pair is indexed by fewer tokens than the longer one probes
-    y = rows.where(F.col("at") <= F.col("size") - need("2 * size")).select("token", *(F.col(c).alias(f"y_{c}") for c in ("at", "doc_id", "line_no", "size", "signature")))
-    order = "(y_size < x_size or (y_size = x_size and (y_doc_id < x_doc_id or (y_doc_id = x_doc_id and y_line_no < x_line_no))))"
+    side = lambda p: rows.select(
+        F.col("token").alias(f"{p}_token"), F.col("shape").bitwiseAND(4095).cast("int").alias(f"{p}_at"), F.shiftright("shape", 12).bitwiseAND((1 << 24) - 1).cast("int").alias(f"{p}_size"), F.shiftright("shape", 36).alias(f"{p}_extra"),
+        F.col("doc_id").alias(f"{p}_doc_id"), F.col("line_no").alias(f"{p}_line_no"), F.col("signature").alias(f"{p}_signature"),
+    )
     most = need("x_size + y_size")
-    found = x.join(y, "token").where(
-        F.expr(order)
+    found = side("x").join(
+        side("y"),
+        (F.col("x_token") == F.col("y_token"))
+        & F.expr("(y_size < x_size or (y_size = x_size and (y_doc_id < x_doc_id or (y_doc_id = x_doc_id and y_line_no < x_line_no))))")
         & (F.col("y_size") * DEN >= F.col("x_size") * NUM)
         & (F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= most)
-        & (F.bit_count(F.col("x_signature").bitwiseXOR(F.col("y_signature"))) <= F.col("x_size") + F.col("y_size") - 2 * most)
+        & (F.bit_count(F.col("x_signature").bitwiseXOR(F.col("y_signature"))) + F.bit_count(F.col("x_extra").bitwiseXOR(F.col("y_extra"))) <= F.col("x_size") + F.col("y_size") - 2 * most),
     )
     a, b = F.struct(F.col("x_doc_id").alias("doc_id"), F.col("x_line_no").alias("line_no")), F.struct(F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no"))
     return found.select(F.greatest(a, b).alias("later"), F.least(a, b).alias("earlier"))
 
 
+def _tokens_of(spark: SparkSession, lines: DataFrame):
+    """A bitmap of fixed size of the tokens of lines, broadcast."""
+
+    def mark(batches):
+        bits = np.zeros(BUCKETS // 8, np.uint8)
+        for batch in batches:
+            x = np.frombuffer(b"".join(t or b"" for t in batch.column("tokens").to_pylist()), np.uint64)
+            k = _bucket(T.mix(x >> np.uint64(16)))
+            np.bitwise_or.at(bits, k >> 3, (1 << (k & 7)).astype(np.uint8))
+        yield T.as_blocks(bits)
+
+    return spark.sparkContext.broadcast(T.merged_blocks(lines.select("tokens").mapInArrow(mark, "block int, part int, data binary"), "or"))
+
+
 def _line_hash(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
     return T.mix(T.mix(doc_id.astype(np.int64).view(np.uint64)) + line_no.astype(np.uint64))
 
@@ -198,17 +235,19 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lines = texts.mapInArrow(_lines(rarity), TAGGED).withColumn("first", F.min(place).over(same))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     # copies need no more than their places
-    lines = lines.withColumn("tokens", F.when(is_first, F.col("tokens"))).checkpoint()
-    firsts = lines.where(is_first)
-    pairs = _pairs(firsts)
-    tried = pairs.groupBy("later").agg(F.min("earlier").alias("earlier")).checkpoint()
+    lines = T.written(spark, lines.select("doc_id", "line_no", "first", is_first.alias("is_first"), *(F.when(is_first, F.col(c)).alias(c) for c in ("size", "signature", "extra", "tokens"))))
+    firsts = lines.where("is_first")
+    tried = _pairs(firsts).groupBy("later").agg(F.min("earlier").alias("earlier")).checkpoint()
     near = _verified(spark, tried, texts).checkpoint()
     open_ = tried.join(near.select("later"), "later", "left_anti").withColumnRenamed("earlier", "tried")
-    rest = pairs.join(open_, "later").where("earlier != tried").select("later", "earlier").distinct().checkpoint()
-    more = _verified(spark, rest, texts) if rest.limit(1).count() else near.limit(0)
-    more = more.groupBy("later").agg(F.min(F.struct("earlier", "similarity")).alias("m")).select("later", "m.earlier", "m.similarity")
+    more = near.limit(0)
+    if open_.limit(1).count():
+        # only tokens of lines that are still open are joined again
+        wanted = _tokens_of(spark, firsts.join(open_.select("later.doc_id", "later.line_no"), ["doc_id", "line_no"], "left_semi"))
+        rest = _pairs(firsts, wanted).join(open_, "later").where("earlier != tried").select("later", "earlier").distinct().checkpoint()
+        more = _verified(spark, rest, texts).groupBy("later").agg(F.min(F.struct("earlier", "similarity")).alias("m")).select("later", "m.earlier", "m.similarity")
     near = near.union(more).select("later.doc_id", "later.line_no", F.col("earlier.doc_id").alias("kept_doc_id"), F.col("earlier.line_no").alias("kept_line_no"), "similarity")
-    copies = lines.where(~is_first).select("doc_id", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no"), F.lit(1.0).alias("similarity"))
+    copies = lines.where("not is_first").select("doc_id", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no"), F.lit(1.0).alias("similarity"))
     return copies.union(near)
 
 

@@ -7,7 +7,9 @@ hashing cost a handful of numpy passes instead of a Python step per word.
 
 from __future__ import annotations
 
+import posixpath
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -238,5 +240,13 @@ def shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows, from a table written to the shared folder: what checkpoint() does, but in compressed columns."""
+    shared_folder(spark)
+    path = posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"table-{uuid.uuid4()}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
