@@ -82,8 +82,8 @@ class Engine:
 
     def _hybrid(self, pairs: DataFrame, o: Options) -> DataFrame:
         if o.candidates and o.candidates > 0:
-            base = [*pairs.columns]
-            pairs = scoring.hybrid(pairs).where(F.col("hybrid_rank") <= o.candidates).select(*base)
+            kept = scoring.hybrid(pairs).where(F.col("hybrid_rank") <= o.candidates).select("query_id", "id")
+            pairs = pairs.join(kept, ["query_id", "id"], "left_semi")
         return scoring.hybrid(pairs, o.weights, o.adaptive, trace=o.explain).withColumn("place", F.col("hybrid_rank"))
 
     def _fused(self, pairs: DataFrame, o: Options) -> DataFrame:

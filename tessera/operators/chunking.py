@@ -337,7 +337,7 @@ def heading_aware(text: str, size: int, overlap: int) -> list[Piece]:
             return [p._replace(path=path)]
         for depth in range(level, 7):
             inner = [h for h in heads if lo <= h.piece.start < hi and h.level == depth]
-            if [h for h in inner if h.piece.start > p.start] or (inner and inner[0].piece.start == p.start and depth > level):
+            if inner:
                 edges = [h.piece.start for h in inner]
                 out = section(lo, edges[0], path, depth + 1) if edges[0] > lo else []
                 for h, nxt in zip(inner, edges[1:] + [hi]):

@@ -29,7 +29,7 @@ class Report:
 
 def directory(spark: SparkSession, path: str, page: int = PAGE, glob: str | None = None) -> DataFrame:
     """The files of a directory tree as a stream of pages; what was read is kept in the query's checkpoint."""
-    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", str(page)).option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("maxFilesPerTrigger", str(page)).option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
