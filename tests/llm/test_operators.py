@@ -1,0 +1,329 @@
+"""Each operator against brute force, a round trip or held-out labels, and on awkward tables."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, gif, langid, linededup, neardup, packing, quality, secrets, textops, tokens, toxicity
+
+SF = "/root/testdata/sf0.001"
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, hash string, line_no int, root string, token string, size double, language string, score string"
+
+
+def rows(*docs):
+    return [(i, t, lang, "s", len(t or ""), "h", 1, "r", "t", 0.5, "x", "y") for i, t, lang in docs]
+
+
+LONG = " ".join(f"w{i % 997}" for i in range(40_000))
+AWKWARD = rows((1, None, "en"), (2, "", None), (3, " \n\n ", "de"), (4, "word", "en"), (4, "word", "en"), (None, "Text without an id here.", "en"), (5, LONG, "en"), (6, "ünï çødé \U0001f600 'll don't 123", "fr"), (7, LONG, "en"))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return textops.documents(spark, SF)
+
+
+@pytest.fixture(scope="module")
+def local(docs):
+    return sorted((r.doc_id, r.text or "") for r in docs.collect())
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, EXTRA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], EXTRA)
+
+
+def brute_lines(docs):
+    seen, gone = [], set()
+    for d, text in docs:
+        for n, line in enumerate(text.split("\n")):
+            s = frozenset(re.findall(r"[^\W_]+", line.lower()))
+            if len(s) < linededup.MIN_TOKENS:
+                continue
+            if any(len(s & o) * linededup.DEN >= linededup.NUM * len(s | o) for o in seen):
+                gone.add((d, n))
+            seen.append(s)
+    return gone
+
+
+def test_line_dedup_is_exact(spark, docs, local):
+    got = linededup.removed_lines(spark, docs).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == brute_lines(local)
+    assert len(got) == len({(r.doc_id, r.line_no) for r in got})
+    assert all((r.kept_doc_id, r.kept_line_no) < (r.doc_id, r.line_no) for r in got)
+
+
+def test_line_dedup_awkward(spark, awkward, nothing):
+    got = {(r.doc_id, r.line_no) for r in linededup.removed_lines(spark, awkward).collect()}
+    assert got == {(7, 0)}
+    kept = linededup.without_repeated_lines(spark, awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in AWKWARD if r[0] != 7)
+    assert linededup.removed_lines(spark, nothing).count() == 0
+    assert linededup.without_repeated_lines(spark, nothing).count() == 0
+
+
+def test_line_dedup_second_partner(spark):
+    """A line whose earliest candidate fails still finds a later one."""
+    base = [f"tok{i}" for i in range(20)]
+    lines = [" ".join(base[:14] + [f"x{i}" for i in range(6)]), " ".join(base), " ".join(base[:19] + ["other"])]
+    got = linededup.removed_lines(spark, spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in got} == {(2, 1)}
+
+
+def multiset(text):
+    w = re.findall(r"[^\W_]+", text.lower())
+    return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
+
+
+def test_near_duplicates_against_brute_force(spark, docs, local):
+    bags = [(d, multiset(t)) for d, t in local]
+    parent = {d: d for d, _ in bags}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(bags):
+        for b, y in bags[:i]:
+            if x and y and sum((x & y).values()) >= neardup.SIMILARITY * sum((x | y).values()):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    want = {d: root(d) for d, _ in bags}
+    sizes = Counter(want.values())
+    want = {d: r for d, r in want.items() if sizes[r] > 1}
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark, docs).collect()}
+    assert len(set(got.items()) & set(want.items())) >= 0.9 * len(want)
+    assert set(got) <= set(want)
+
+
+def test_bagminhash_is_unbiased():
+    random.seed(3)
+    texts = [" ".join(random.choice("abcdefgh") for _ in range(n)) for n in (30, 60, 200, 60)] + ["a b " * 9]
+    s = neardup.signatures(*neardup.bags(texts), len(texts), 3000)
+    for i in range(len(texts)):
+        for j in range(i):
+            true = neardup.overlaps([texts[i]], [texts[j]])[0]
+            x, y = multiset(texts[i]), multiset(texts[j])
+            assert true == pytest.approx(sum((x & y).values()) / sum((x | y).values()))
+            assert abs((s[i] == s[j]).mean() - true) < 0.05
+
+
+def test_near_duplicates_awkward(spark, awkward, nothing):
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark, awkward).collect()}
+    assert got == {5: 5, 7: 5}
+    kept = neardup.deduplicated(spark, awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 1
+    assert neardup.groups(spark, nothing).count() == 0
+
+
+def test_near_duplicates_in_one_bucket_but_apart(spark):
+    """Members of a bucket that the first one doesn't match are compared with each other."""
+    a = [f"a{i}" for i in range(100)]
+    texts = [" ".join(a[i * 12 : i * 12 + 60]) for i in range(4)]
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_decontamination(spark, docs, local):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, docs, bench).collect()}
+    want = {(d, b.item_id) for b in bench.collect() for d, t in local if b.text in t}
+    assert want <= got and len(got) <= len(want) + 2
+
+
+def test_decontamination_tolerates_substitutions(spark):
+    item = [f"q{i}" for i in range(40)]
+    changed = [w if i % 9 else "zzz" for i, w in enumerate(item)]
+    d = spark.createDataFrame([(1, " ".join(["pad"] * 30 + changed + ["pad"] * 30)), (2, " ".join(f"other{i}" for i in range(80))), (3, "short one"), (4, "x short one two"), (None, " ".join(item))], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, "short one two"), (3, None), (4, ""), (None, "other1 other2")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.item_tokens) for r in decontam.contaminated(spark, d, b).collect()}
+    assert set(got) == {(1, 1), (4, 2)} and got[1, 1][0] >= 34 and got[4, 2] == (3, 3)
+    assert sorted(r.doc_id for r in decontam.decontaminated(spark, d, b).collect() if r.doc_id) == [2, 3]
+
+
+def test_decontamination_awkward(spark, awkward, nothing):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert decontam.decontaminated(spark, awkward, bench).count() == len(AWKWARD)
+    assert decontam.contaminated(spark, nothing, bench).count() == 0
+    assert decontam.contaminated(spark, awkward, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = textops.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.train(spark, d, labels)
+    got = toxicity.toxicity(spark, d, m).join(labels, "doc_id").groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("share")).collect()
+    share = {r.toxic: r.share for r in got}
+    assert share[1] > 0.9 and share[0] < 0.01
+
+
+def test_toxicity_awkward(spark, awkward, nothing):
+    m = toxicity.fit(["you idiot and moron " + str(i) for i in range(40)] * 2, ["a fine day number " + str(i) for i in range(200)])
+    assert [r.is_toxic for r in toxicity.toxicity(spark, spark.createDataFrame([(1, "such an idiot, a moron"), (2, "fine day")], "doc_id long, text string"), m).orderBy("doc_id").collect()] == [True, False]
+    kept = toxicity.without_toxic(spark, awkward, m)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD)
+    assert toxicity.toxicity(spark, nothing, m).count() == 0
+    none = toxicity.train(spark, awkward, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
+    assert toxicity.toxicity(spark, awkward, none).where("is_toxic").count() == 0
+
+
+def test_token_counts_are_the_encoders():
+    e, c = tokens.encoder(tokens.VOCABULARY), tokens.Counter()
+    random.seed(0)
+    texts = ["".join(random.choice("ab '\n\t  é1²Ⅷ!?.,'ssttrevemlld́\U0001f600漢字") for _ in range(random.randrange(30))) for _ in range(3000)]
+    assert c.count(texts).tolist() == [len(e.encode_ordinary(t)) for t in texts]
+
+
+def test_length_histogram(spark, docs, local):
+    c = tokens.Counter()
+    lengths = c.count([t for _, t in local]).tolist()
+    got = tokens.token_counts(spark, docs).collect()
+    assert {r.length: r.n_docs for r in got} == Counter(lengths)
+    for r in got:
+        assert r.truncated_total == sum(min(x, r.length) for x in lengths)
+        assert r.docs_from == sum(x >= r.length for x in lengths) and r.tokens_from == sum(x for x in lengths if x >= r.length)
+        assert r.quantile == pytest.approx(sum(x <= r.length for x in lengths) / len(lengths))
+
+
+def test_token_counts_awkward(spark, awkward, nothing):
+    got = tokens.token_counts(spark, awkward).collect()
+    assert sum(r.n_docs for r in got) == len(AWKWARD) and [r.n_docs for r in got if r.length == 0] == [2]
+    assert tokens.token_counts(spark, nothing).count() == 0
+
+
+def test_packing(spark, docs):
+    got = packing.pack(spark, docs, 2048).collect()
+    lengths = Counter()
+    for r in tokens.counted(docs).collect():
+        lengths[r.doc_id] += r.n_tokens
+    packed, used = Counter(), Counter()
+    for r in got:
+        packed[r.doc_id] += r.n_tokens
+        used[r.shard, r.window] += r.n_tokens
+    assert packed == lengths and max(used.values()) <= 2048
+    assert all(r.window_tokens == used[r.shard, r.window] for r in got)
+    assert len(used) <= 1.15 * sum(lengths.values()) / 2048 + 2
+
+
+def test_differencing_beats_first_fit_spread():
+    random.seed(5)
+    lengths = [random.randrange(1, 900) for _ in range(200)]
+    found = packing.difference(lengths, 16)
+    sums = [s for s, _ in found]
+    assert sorted(i for _, m in found for i in m) == list(range(200)) and [sum(lengths[i] for i in m) for _, m in found] == sums
+    assert max(sums) - min(sums) < 60
+    assert packing.windows([], 10) == [] and packing.windows([10, 10, 1], 10) != []
+
+
+def test_packing_awkward(spark, awkward, nothing):
+    got = packing.pack(spark, awkward, 1024).collect()
+    assert len({(r.shard, r.window) for r in got if r.doc_id == 5}) > 1
+    assert sum(r.doc_id == 4 for r in got) == 2 and sum(r.doc_id is None for r in got) == 1
+    assert packing.pack(spark, nothing).count() == 0
+
+
+def test_secrets(spark, docs, local):
+    got = {(r.doc_id, r.start, r.end) for r in secrets.scan(spark, docs, secrets.train(spark, docs)).collect()}
+    want = {(d, *m.span()) for d, t in local for m in re.finditer(r"AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]{16,}|(?<=token = \")[0-9a-f]{30,}", t)}
+    assert got == want
+
+
+def test_secrets_awkward(spark, awkward, nothing):
+    m = secrets.train(spark, awkward)
+    assert secrets.scan(spark, awkward, m).count() == 0 and secrets.scan(spark, nothing, m).count() == 0
+    labelled = spark.createDataFrame([(s, True) for s in secrets.random_strings(300)] + [(s, False) for s in secrets.identifiers(["alpha", "number", "client", "value"], 300)] + [(None, True)], "sample string, is_secret boolean")
+    m = secrets.train(spark, awkward, labelled)
+    found = secrets.found(m, ["x Zk93kd02LsPqo1mmZ92kdLq0 y client_value_number_alpha 1234567890123456789"])
+    assert [(a, b) for a, b in zip(found[1], found[2])] == [(2, 26)]
+
+
+def test_gif_round_trip():
+    rng = np.random.default_rng(1)
+    palette = rng.integers(0, 256, (16, 3)).astype(np.uint8)
+    a, b = rng.integers(0, 16, (11, 7)), rng.integers(0, 16, (5, 4))
+    local = rng.integers(0, 256, (3, 3)).astype(np.uint8)
+    frames = [gif.Frame(a, delay=7, disposal=1), gif.Frame(b, left=2, top=3, delay=9, disposal=3, transparent=5), gif.Frame(b % 3, left=1, top=1, disposal=2, palette=local, interlaced=True), gif.Frame(b, left=5, top=9, delay=1)]
+    got = list(gif.decode(gif.encode(7, 11, palette, frames)))
+    assert [d for d, _ in got] == [70, 90, 0, 10]
+    canvas = np.concatenate([palette[a], np.full((11, 7, 1), 255)], axis=2)
+    assert (got[0][1] == canvas).all()
+    second = canvas.copy()
+    second[3:8, 2:6][b != 5, :3] = palette[b[b != 5]]
+    assert (got[1][1] == second).all()
+    third = canvas.copy()
+    third[1:6, 1:5, :3] = local[b % 3]
+    assert (got[2][1] == third).all()
+    fourth = canvas.copy()
+    fourth[1:6, 1:5] = 0
+    fourth[9:11, 5:7, :3], fourth[9:11, 5:7, 3] = palette[b[:2, :2]], 255
+    assert (got[3][1] == fourth).all()
+    assert gif.histogram(got[0][1]).sum() == 77
+
+
+def test_gif_awkward(spark):
+    good = gif.encode(2, 2, np.array([[0, 0, 0], [255, 0, 0]], np.uint8), [gif.Frame(np.array([[0, 1], [1, 0]]))])
+    d = spark.createDataFrame([(1, bytearray(good), 0), (2, None, 0), (3, bytearray(b""), 0), (4, bytearray(b"not a gif"), 0), (5, bytearray(good[:-8]), 0), (1, bytearray(good), 1)], "id long, gif binary, frame int")
+    got = {}
+    for r in gif.frames(d).collect():
+        got.setdefault(r.id, []).append(r)
+    assert [len(got[i]) for i in range(1, 6)] == [2, 1, 1, 1, 1] and all(got[i][0].error for i in (2, 3, 4, 5))
+    assert got[1][0].histogram[0] == 2 and got[1][0].histogram[48] == 2 and got[1][0].error is None
+    assert gif.frames(d.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels, pages = textops.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+    got = quality.quality(spark, d, labels, pages, quality.train(spark, d, labels))
+    assert got.count() == d.count()
+    assert got.join(labels, "doc_id").agg(F.avg((F.col("is_good") == (F.col("quality") == 1)).cast("int"))).first()[0] > 0.95
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    d = spark.createDataFrame([(i, "x", "h", "big" if i < 200 else "small") for i in range(202)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(202)], "doc_id long, quality int")
+    m = quality.Model(np.zeros(14), np.ones(14), np.zeros(15))
+    got = {r.doc_id: r.path_rate for r in quality.quality(spark, d, labels, spark.createDataFrame([], "page_id long, url string"), m).collect()}
+    assert got[0] == pytest.approx(0.49, abs=0.03) and 0.0 < got[201] < got[150]
+
+
+def test_quality_awkward(spark, awkward, nothing):
+    pages = spark.createDataFrame([(1, "http://h.example/en/4"), (2, None), (3, "nonsense"), (4, "http://h.example/99999999999999999999999")], "page_id long, url string")
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1), (6, 7)], "doc_id long, quality int")
+    m = quality.train(spark, awkward, labels)
+    got = {r.doc_id: r for r in quality.quality(spark, awkward, labels, pages, m).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7} and all(0 <= r.score <= 1 for r in got.values())
+    assert quality.quality(spark, nothing, labels, pages, m).count() == 0
+
+
+def test_language_on_held_out_documents(spark):
+    d = textops.documents(spark, "/root/testdata/sf0.01")
+    train = d.where("doc_id % 2 = 0")
+    got = langid.identify(spark, d.where("doc_id % 2 = 1"), langid.train(spark, train)).join(d, "doc_id").agg(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0]
+    assert got > 0.97
+
+
+def test_language_backs_off():
+    m = langid.fit({"aa": ["foo bar baz bar foo qux " * 3] * 3, "bb": ["nim nam num nom nem " * 3] * 3})
+    s = langid.scores(m, ["foo", "barfoo", "numnam", "", "北"])
+    assert [m.languages[i] for i in s[:3].argmax(axis=1)] == ["aa", "aa", "bb"] and not s[3:].any()
+
+
+def test_language_awkward(spark, awkward, nothing):
+    m = langid.train(spark, awkward)
+    got = langid.identify(spark, awkward, m).collect()
+    assert len(got) == len(AWKWARD) - 1 and {r.doc_id: r.language for r in got}[1] is None
+    empty = langid.train(spark, nothing)
+    assert langid.identify(spark, nothing, empty).count() == 0
+    assert {r.language for r in langid.identify(spark, awkward, empty).collect()} == {None}
