@@ -64,4 +64,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_secrets, op3_decontamination, op4_toxicity, op5_token_counts, op6_near_duplicates, op7_packing, op8_gif_frames, op9_quality, op10_language)}
-ORACLES: dict[str, str] = {}
+#: Lines in SQL: the same prefix filter over document frequencies, so that it, too, is exact without comparing all pairs.
+LINES_SQL = r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM t),
+s AS (SELECT doc_id, line_no::int AS line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[\p{L}\p{N}\p{M}]+'))) AS w FROM l),
+k AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(line_no) OVER o AS fl FROM s WHERE len(w) >= 3 WINDOW o AS (PARTITION BY w ORDER BY doc_id, line_no)),
+r AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no, w, len(w) AS n FROM k WHERE doc_id = fd AND line_no = fl),
+tok AS (SELECT id, n, unnest(w) AS term FROM r), df AS (SELECT term, count(*) AS df FROM tok GROUP BY 1),
+p AS (SELECT id, n, term FROM tok JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, term) <= n - (17 * n + 19) // 20 + 1),
+c AS (SELECT DISTINCT x.id AS later, y.id AS earlier FROM p x JOIN p y ON x.term = y.term AND y.id < x.id AND y.n * 20 >= x.n * 17 AND x.n * 20 >= y.n * 17),
+v AS (SELECT a.doc_id, a.line_no, b.doc_id AS kept_doc_id, b.line_no AS kept_line_no, len(list_intersect(a.w, b.w)) AS i, a.n + b.n AS m, later, earlier FROM c JOIN r a ON a.id = later JOIN r b ON b.id = earlier)
+SELECT doc_id, line_no, fd AS kept_doc_id, fl AS kept_line_no, 1.0::double AS similarity FROM k WHERE NOT (doc_id = fd AND line_no = fl)
+UNION ALL SELECT doc_id, line_no, kept_doc_id, kept_line_no, i / (m - i) AS similarity FROM v WHERE i * 20 >= 17 * (m - i) QUALIFY row_number() OVER (PARTITION BY later ORDER BY earlier) = 1"""
+ORACLES: dict[str, str] = {"op1_line_dedup": LINES_SQL}
