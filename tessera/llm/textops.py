@@ -215,9 +215,12 @@ def merged_blocks(blocks: DataFrame, how: str) -> np.ndarray:
         tasks = -(-tasks // FAN_IN)
         if tasks <= 1:
             break
+    def table(data: bytes) -> np.ndarray:
+        x = np.frombuffer(zlib.decompress(data), dtype)
+        return np.where(x < 2, x, 2 + 8 * np.log2(np.maximum(x, 2) / 2)).astype(np.uint8) if add else x
+
     rows = sorted((r.block, bytes(r.data)) for r in blocks.collect())
-    out = np.concatenate([np.frombuffer(zlib.decompress(d), dtype) for _, d in rows]) if rows else np.zeros(0, dtype)
-    return np.where(out < 2, out, 2 + 8 * np.log2(np.maximum(out, 2) / 2)).astype(np.uint8) if add else out
+    return np.concatenate([table(d) for _, d in rows]) if rows else np.zeros(0, np.uint8)
 
 
 BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])

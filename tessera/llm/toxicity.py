@@ -18,7 +18,6 @@ kinds nothing is toxic.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -45,6 +44,7 @@ class Model(NamedTuple):
     ordinary: bytes
     runs: np.ndarray
     threshold: int
+    longest: int  # what a window may take with the toxic dictionary
 
 
 def _runs(cp: np.ndarray) -> np.ndarray:
@@ -77,11 +77,11 @@ class Scorer:
     def window(self, word: str) -> int:
         if (s := self.known.get(word)) is None:
             b = _CARRIER + f" {word} ".encode() + _CARRIER[:16]
-            s = max(0, len(self.ordinary.compress(b)) - len(self.toxic.compress(b)))
+            short = len(self.toxic.compress(b))
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[word] = s
-        return s
+            s = self.known[word] = (max(0, len(self.ordinary.compress(b)) - short), short)
+        return s[0] if s[1] <= self.model.longest else 0
 
     def documents(self, texts: list[str]) -> np.ndarray:
         """The score of each text. A word that shares no four characters with the toxic part scores 0."""
@@ -117,14 +117,21 @@ def _tokens(text: str) -> list[str]:
     return [s[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
 
 
-def _contexts(docs: list[list[str]]) -> dict[str, int]:
-    """In how many different neighbourhoods each word occurs; copies of a passage count once."""
-    seen = defaultdict(set)
-    for tokens in docs:
-        w = ["", *tokens, ""]
-        for before, x, after in zip(w, w[1:], w[2:]):
-            seen[x].add((before, after))
-    return {x: len(v) for x, v in seen.items()}
+def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, in how many different neighbourhoods each occurs); copies of a passage count once."""
+    pairs = np.zeros((0, 2), np.uint64)
+    parts = []
+    for i in range(0, len(texts), 100):
+        w = T.words(texts[i : i + 100])
+        if not len(w.hash):
+            continue
+        inner = w.doc[1:] == w.doc[:-1]
+        before, after = np.zeros(len(w.hash), np.uint64), np.zeros(len(w.hash), np.uint64)
+        before[1:][inner], after[:-1][inner] = w.hash[:-1][inner], w.hash[1:][inner]
+        parts.append(np.stack([w.hash, T.mix(before * np.uint64(3) + after)], axis=1))
+    if parts:
+        pairs = np.unique(np.concatenate(parts), axis=0)
+    return np.unique(pairs[:, 0], return_counts=True)
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -141,40 +148,53 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     What the toxic dictionary is trained on: the words that occur in toxic texts in
     significantly more contexts than in ordinary ones.
     """
-    toxic, ordinary = ([_tokens(t) for t in texts] for texts in (toxic, ordinary))
     held = [x[2::3] for x in (toxic, ordinary)]
     toxic, ordinary = ([t for i, t in enumerate(x) if i % 3 < 2] for x in (toxic, ordinary))
-    ct, co = _contexts(toxic), _contexts(ordinary)
-    a, b = sum(ct.values()), sum(co.values())
+    (ht, ct), (ho, co) = _contexts(toxic), _contexts(ordinary)
+    a, b = int(ct.sum()), int(co.sum())
+    rest = dict(zip(ho.tolist(), co.tolist()))
 
     def excess(c: int, o: int) -> float:
         n = c + o
         return 2 * (c * math.log(c * (a + b) / (n * a)) + (o * math.log(o * (a + b) / (n * b)) if o else 0))
 
     least = max(3, math.ceil(0.012 * len(toxic)))
-    lexicon = sorted(w for w, c in ct.items() if c >= least and len(w) > 2 and c * b > 20 * co.get(w, 0) * a and excess(c, co.get(w, 0)) > 12) if b else []
+    telling = {h for h, c in zip(ht.tolist(), ct.tolist()) if b and c >= least and c * b > 20 * rest.get(h, 0) * a and excess(c, rest.get(h, 0)) > 12}
+    toxic = [_tokens(t) for t in toxic]
+    distinct = sorted({w for t in toxic for w in t if len(w) > 2})
+    hashes = T.words(distinct).hash.tolist() if telling else []
+    lexicon = [w for w, h in zip(distinct, hashes) if h in telling]
     if not lexicon:
-        return Model(b"", b"", np.zeros(1 << 16, np.int8), 0)
+        return Model(b"", b"", np.zeros(1 << 16, np.int8), 0, 0)
     words = set(lexicon)
     samples = [(" " + " ".join(x) + " ").encode() for t in toxic if (x := [w for w in t if w in words])]
     # every word of the lexicon is in the dictionary; what training found most frequent lies last, where matches are cheapest
     part = (" " + " ".join(lexicon) + " ").encode() + _dictionary(samples, min(DICT_BYTES, sum(map(len, samples)) // 4))
-    base = _dictionary([" ".join(t[i : i + 40]).encode() for t in ordinary for i in range(0, min(len(t), 400), 40)], DICT_BYTES)
+    base = _dictionary([" ".join(t[i : i + 40]).encode() for t in map(_tokens, ordinary) for i in range(0, min(len(t), 400), 40)], DICT_BYTES)
     filler = bytes(20 + i % 11 for i in range(len(part)))
     runs = np.zeros(1 << 16, np.int8)
     runs[_runs(np.frombuffer((" " + " ".join(lexicon) + " ").encode("utf-32-le"), np.uint32))] = 1
-    model = Model(part + base + _CARRIER, filler + base + _CARRIER, runs, 0)
+    model = Model(part + base + _CARRIER, filler + base + _CARRIER, runs, 0, 1 << 20)
+    # windows of the lexicon's own words show what the toxic dictionary can bring a window down to
     scorer = Scorer(model)
-    s_toxic, s_ordinary = (scorer.documents([" ".join(t) for t in x]) for x in held)
-    return model._replace(threshold=_threshold(s_toxic, s_ordinary))
-
-
-def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> int:
-    """The highest of the thresholds with the fewest errors, where an ordinary document rejected counts twice."""
+    for w in lexicon:
+        scorer.window(w)
+    lengths = sorted(short for _, short in scorer.known.values())
+    best = (math.inf, 0, 0, model)
+    for longest in [*range(lengths[0], lengths[-1] + 4), model.longest]:
+        scorer.model = model._replace(longest=longest)
+        s_toxic, s_ordinary = (np.concatenate([scorer.documents(x[i : i + 100]) for i in range(0, len(x), 100)] or [np.zeros(0, np.int32)]) for x in held)
+        errors, threshold = _threshold(s_toxic, s_ordinary)
+        best = min(best, (errors, -longest, 0, model._replace(longest=longest, threshold=threshold)), key=lambda m: m[:2])
+    return best[3]
+
+
+def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, int]:
+    """(errors, threshold): the highest of the thresholds with the fewest errors, where an ordinary document rejected counts five times."""
     best = (math.inf, 0)
     for t in range(0, 1 + max(toxic.max(initial=0), ordinary.max(initial=0))):
-        best = min(best, (2 * (ordinary > t).sum() / max(1, len(ordinary)) + (toxic <= t).sum() / max(1, len(toxic)), -t))
-    return -best[1]
+        best = min(best, (5 * (ordinary > t).sum() / max(1, len(ordinary)) + (toxic <= t).sum() / max(1, len(toxic)), -t))
+    return float(best[0]), -best[1]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
