@@ -66,6 +66,8 @@ def _grams(cp: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     if len(cp) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(owner[: len(cp) - n + 1] == owner[n - 1 :])
+    if n == 1:
+        at = at[cp[at] != 95]  # a mark alone says nothing
     x = np.zeros(len(at), np.uint64)
     for k in range(n):
         x = x * np.uint64(0x9E3779B97F4A7C15) + cp[at + k] + np.uint64(1)
