@@ -57,9 +57,10 @@ def _shapes(short: list[int]) -> list[tuple[list[int], int]]:
 
 
 def align(item: np.ndarray, text: np.ndarray, diagonals: list[int]) -> int:
-    """How many of the item's tokens the best segments along these diagonals cover with equal tokens.
+    """How many of the item's tokens segments along these diagonals cover with equal tokens.
 
-    A segment gains 1 for each equal token and loses 2 for each other one; the best is the one that gains most.
+    A segment gains 1 for each equal token and loses 2 for each other one. Of a diagonal, the segment that gains most
+    counts, and around each seed hit the one that gains most among those that hold the hit.
     """
     covered = np.zeros(len(item), bool)
     for d in diagonals:
@@ -67,11 +68,20 @@ def align(item: np.ndarray, text: np.ndarray, diagonals: list[int]) -> int:
         if lo >= hi:
             continue
         same = item[lo:hi] == text[lo + d : hi + d]
+        n = len(same)
         total = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
-        gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        start = int(total[: end + 1].argmin()) if end else 0
-        covered[lo + start : lo + end] |= same[start:end]
+        least = np.minimum.accumulate(total)
+        most = np.maximum.accumulate(total[::-1])[::-1]
+        #: Where the best segment up to a place starts, and where the best one from there ends.
+        start = np.maximum.accumulate(np.where(total == least, np.arange(n + 1), 0))
+        end = np.minimum.accumulate(np.where(total == most, np.arange(n + 1), n)[::-1])[::-1]
+        best = int((total - least).argmax())
+        found = [(start[best], best)]
+        for m in MASKS if n >= SPAN else ():
+            hit = np.flatnonzero(np.logical_and.reduce([same[k : n - SPAN + 1 + k] for k, c in enumerate(m) if c == "1"]))
+            found += zip(start[hit], end[hit + SPAN])
+        for i, j in set(found):
+            covered[lo + i : lo + j] |= same[i:j]
     return int(covered.sum())
 
 

@@ -152,6 +152,18 @@ def test_decontamination_tolerates_substitutions(spark):
     assert sorted(r.doc_id for r in decontam.decontaminated(spark, d, b).collect() if r.doc_id) == [2, 3]
 
 
+def test_decontamination_tolerates_replaced_blocks(spark):
+    forty, sixty = [f"q{i}" for i in range(40)], [f"r{i}" for i in range(60)]
+    one = forty[:16] + [f"x{i}" for i in range(10)] + forty[26:]
+    two = sixty[:12] + [f"y{i}" for i in range(10)] + sixty[22:40] + [f"z{i}" for i in range(10)] + sixty[50:]
+    few = forty[:10] + [f"x{i}" for i in range(30)]
+    pad = [f"pad{i}" for i in range(30)]
+    d = spark.createDataFrame([(i, " ".join(pad + t + pad)) for i, t in enumerate([one, two, few])], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(forty)), (2, " ".join(sixty))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.item_tokens) for r in decontam.contaminated(spark, d, b).collect()}
+    assert got == {(0, 1): (30, 40), (1, 2): (40, 60)}
+
+
 def test_decontamination_awkward(spark, awkward, nothing):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.decontaminated(spark, awkward, bench).count() == len(AWKWARD)
