@@ -72,11 +72,11 @@ def align(item: np.ndarray, text: np.ndarray, diagonals: list[int]) -> int:
         total = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
         least = np.minimum.accumulate(total)
         most = np.maximum.accumulate(total[::-1])[::-1]
-        #: Where the best segment up to a place starts, and where the best one from there ends.
-        start = np.maximum.accumulate(np.where(total == least, np.arange(n + 1), 0))
-        end = np.minimum.accumulate(np.where(total == most, np.arange(n + 1), n)[::-1])[::-1]
+        # where the best segment up to a place starts, and where the best one from there ends; of equal ones the longest
+        start = np.maximum.accumulate(np.where(np.append(True, total[1:] < least[:-1]), np.arange(n + 1), 0))
+        end = np.minimum.accumulate(np.where(np.append(total[:-1] > most[1:], True), np.arange(n + 1), n)[::-1])[::-1]
         best = int((total - least).argmax())
-        found = [(start[best], best)]
+        found = [(start[best], end[best])]
         for m in MASKS if n >= SPAN else ():
             hit = np.flatnonzero(np.logical_and.reduce([same[k : n - SPAN + 1 + k] for k, c in enumerate(m) if c == "1"]))
             found += zip(start[hit], end[hit + SPAN])
