@@ -3,7 +3,10 @@
 One model is trained on random strings, the other on ordinary identifiers. A
 candidate, a run of LEAST or more ASCII letters, digits, '+', '/', '_' and '-' with
 both a letter and no break, is a secret when its log-likelihood ratio per character
-is above a threshold calibrated on held-out labelled samples.
+is above a threshold calibrated on held-out labelled samples. A candidate may hold a
+secret among ordinary characters, as paths, URLs and names do: its stretches of LEAST or
+more characters, that end at '/', '_' or '-' if one is near, whose ratios exceed that threshold by enough in
+all, again calibrated, are secrets too, and are reported in place of the candidate.
 
 Defined results: null and empty texts have no candidates; rows without a doc_id are
 left out; runs without a letter (numbers, rules) are no candidates; repeated rows give
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from . import textops as T
 
 LEAST = 16
+#: Places within which a stretch ends at a cut.
+NEAR = 6
 #: Labelled samples of each kind, and documents that ordinary identifiers are taken from, at most.
 SAMPLES, SAMPLE_DOCUMENTS = 6000, 1500
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
@@ -38,6 +43,8 @@ class Model(NamedTuple):
 
     ratio: np.ndarray
     threshold: float
+    #: What the ratios of a stretch have above the threshold, summed, at least.
+    excess: float = 0.0
 
 
 def random_strings(n: int, seed: int = 7) -> list[str]:
@@ -89,12 +96,54 @@ def fit(secrets: list[str], ordinary: list[str]) -> Model:
     cuts = np.linspace(-1, 2, 121)
     errors = [((a <= t).mean() if len(a) else 0) + 2 * ((b > t).mean() if len(b) else 0) for t in cuts]
     best = np.flatnonzero(np.array(errors) == min(errors))
-    return model._replace(threshold=float(cuts[best[len(best) // 2]]))
+    model = model._replace(threshold=float(cuts[best[len(best) // 2]]))
+    long = ["/".join(held[1][i : i + 6]) for i in range(0, len(held[1]), 6)]
+    a, b = (np.array([_best(_ratios(model, s) - model.threshold)[2] for s in x]) for x in (held[0], long))
+    cuts = np.linspace(0, 60, 121)
+    errors = [((a <= t).mean() if len(a) else 0) + 20 * ((b > t).mean() if len(b) else 0) for t in cuts]  # long runs have many places
+    best = np.flatnonzero(np.array(errors) == min(errors))
+    return model._replace(excess=float(cuts[best[len(best) // 2]]))
 
 
-def score(model: Model, s: str) -> float:
+def _ratios(model: Model, s: str) -> np.ndarray:
     c, _ = _codes([s])
-    return float(model.ratio[c[:-2], c[1:-1], c[2:]].mean()) if s else 0.0
+    return model.ratio[c[:-2], c[1:-1], c[2:]]
+
+
+def _best(x: np.ndarray) -> tuple[int, int, float]:
+    """(start, end, sum) of the slice with the largest sum."""
+    total = np.concatenate(([0.0], np.cumsum(x)))
+    gain = total - np.minimum.accumulate(total)
+    end = int(gain.argmax())
+    return int(total[: end + 1].argmin()), end, float(gain[end])
+
+
+def stretches(x: np.ndarray, cut: np.ndarray, letter: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Slices of x with sums above `least` that have LEAST places and a letter; an end moves to the end of x or a cut that lies within NEAR places."""
+    out, todo = [], [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        a, b, gain = _best(x[lo:hi])
+        if gain <= least:
+            continue
+        a, b = lo + a, lo + b
+        cuts = lo + np.flatnonzero(cut[lo:hi])
+        start, end = (int(near[np.abs(near - e).argmin()]) for near, e in ((np.append(lo, cuts + 1), a), (np.append(cuts, hi), b)))
+        if abs(start - a) <= NEAR and start < b:
+            a = start
+        if abs(end - b) <= NEAR and end > a:
+            b = end
+        a, b = 0 if a <= NEAR else a, len(x) if b >= len(x) - NEAR else b
+        if b - a >= LEAST and letter[a:b].any():
+            out.append((a, b))
+        todo += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
+def score(model: Model, s: str) -> float:
+    return float(_ratios(model, s).mean()) if s else 0.0
 
 
 def candidates(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +170,20 @@ def found(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     c = _CODE[cp].astype(np.int64)
     ratio = model.ratio[np.where(k > 1, c[at - 2], 0), np.where(k > 0, c[at - 1], 0), c[at]]
     s = np.bincount(run, ratio, len(start)) / np.maximum(size, 1)
-    keep = s > model.threshold
+    over = ratio - model.threshold
+    whole = s > model.threshold
+    first_of = np.cumsum(size) - size
+    got = []
+    for i in np.flatnonzero(whole | (np.bincount(run, np.maximum(over, 0), len(start)) > model.excess)).tolist():
+        part = slice(first_of[i], first_of[i] + size[i])
+        codes = c[at[part]]
+        inside = stretches(over[part], codes > 63, codes <= 52, model.excess)
+        if whole[i] and not inside:
+            inside = [(0, size[i])]
+        got += [(start[i] + a, start[i] + b, ratio[part][a:b].mean()) for a, b in inside]
+    start, end = (np.array([g[k] for g in got], np.int64) for k in (0, 1))
     doc = np.searchsorted(first, start, "right") - 1
-    return doc[keep], (start - first[doc])[keep], (end - first[doc])[keep], s[keep]
+    return doc, start - first[doc], end - first[doc], np.array([g[2] for g in got], float)
 
 
 def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> Model:

@@ -251,6 +251,29 @@ def test_secrets(spark, docs, local):
     assert got == want
 
 
+def test_secrets_in_paths_and_names(spark, docs, local):
+    model, r = secrets.train(spark, docs), random.Random(5)
+    names = secrets.identifiers(sorted({w for _, t in local for w in re.findall("[a-z]{4,}", t)}), 600, 3)
+
+    def caught(key, path):
+        n = 0
+        for i in range(100):
+            before, k = "/".join(names[i * 3 : i * 3 + 12])[:path] + "/", key()
+            got = secrets.found(model, [f"see {before}{k} for it"])
+            start = 4 + len(before)
+            n += any(start - 12 <= a <= start and b == start + len(k) for a, b in zip(got[1].tolist(), got[2].tolist()))
+        return n
+
+    hexes, mixed = (lambda: "".join(r.choices("0123456789abcdef", k=40))), (lambda: "".join(r.choices(secrets._CHARS[:62], k=24)))
+    assert min(caught(hexes, 70), caught(mixed, 30), caught(mixed, 70)) >= 95
+    paths = ["/".join(names[i : i + 8]) for i in range(0, 600, 8)]
+    assert len(secrets.found(model, paths)[0]) <= 1
+    a, b = hexes(), hexes()
+    run = f"{a}/{paths[0]}/{b}"
+    got = secrets.found(model, [run])
+    assert list(zip(got[1].tolist(), got[2].tolist())) == [(0, 40), (len(run) - 40, len(run))]
+
+
 def test_secrets_awkward(spark, awkward, nothing):
     m = secrets.train(spark, awkward)
     assert secrets.scan(spark, awkward, m).count() == 0 and secrets.scan(spark, nothing, m).count() == 0
