@@ -402,30 +402,35 @@ def hash_embedding_token(token: bytes, dim: int) -> tuple[int, int]:
     return h % dim, -1 if h >> 63 else 1
 
 
-def hashing_embedding(text: Column | str, dim: int = 256) -> Column:
+def hashing_vectors(texts, dim: int = 256) -> list[np.ndarray]:
     """Hashing embedder: signed counts of the hashes of letter and digit runs, at unit length."""
+    import regex
+
     dim = dim if dim > 0 else 256
+    pattern = regex.compile(r"[\p{L}\p{Nd}]+")
+    cache: dict[str, tuple[int, int]] = {}
+
+    def one(t):
+        v = np.zeros(dim)
+        words = pattern.findall((t or "").lower())
+        new = [w for w in dict.fromkeys(words) if w not in cache]
+        if new:
+            h = fnv1a([w.encode() for w in new])
+            cache.update(zip(new, zip((h % np.uint64(dim)).astype(int).tolist(), np.where(h >> np.uint64(63), -1, 1).tolist())))
+        for w in words:
+            i, s_ = cache[w]
+            v[i] += s_
+        norm = math.sqrt(float((v * v).sum()))
+        return (v / norm if norm else v).astype(np.float32)
+
+    return [one(t) for t in texts]
+
+
+def hashing_embedding(text: Column | str, dim: int = 256) -> Column:
+    """The hashing embedder's vector of each text."""
 
     @pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        import regex
-
-        pattern = regex.compile(r"[\p{L}\p{Nd}]+")
-        cache: dict[str, tuple[int, int]] = {}
-
-        def one(t):
-            v = np.zeros(dim)
-            words = pattern.findall((t or "").lower())
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if new:
-                h = fnv1a([w.encode() for w in new])
-                cache.update(zip(new, zip((h % np.uint64(dim)).astype(int).tolist(), np.where(h >> np.uint64(63), -1, 1).tolist())))
-            for w in words:
-                i, s_ = cache[w]
-                v[i] += s_
-            norm = math.sqrt(float((v * v).sum()))
-            return (v / norm if norm else v).astype(np.float32)
-
-        return s.map(one)
+        return pd.Series(hashing_vectors(s, dim), index=s.index, dtype=object)
 
     return run(_col(text))

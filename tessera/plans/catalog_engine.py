@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine, Options
+from ..functions.text import hashing_vectors
+from ..functions.tokenizer import Tokenizer
 from ..operators import chunking, search
 from ..sources.shared import shared_folder
 from ..sources.store import ChunkStore
@@ -41,19 +43,20 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("conv_id").agg(F.array_join(turns, "\n\n").alias("text")).withColumnRenamed("conv_id", "doc_id")
 
 
-def _chunks(strategy: str, size: int, overlap: int, source):
+def _chunks(strategy: str, size: int, overlap: int, source, **options):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c = chunking.chunk(source(spark, d), strategy, size, overlap)
+        c = chunking.chunk(source(spark, d), strategy, size, overlap, **options)
         return c.select("doc_id", "id", "text", "char_count", "word_count", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.array_join("path", " > ").alias("path"), "content_hash")
 
     return run
 
 
+_OPTIONS = {"token_chunks": {"tokenizer": Tokenizer()}, "semantic_chunks": {"embed": hashing_vectors}}
 for _name, _args in {
     "sentence_chunks": ("sentence", 600, 60), "smart_chunks": ("smart", 220, 40), "word_chunks": ("word", 400, 40), "paragraph_chunks": ("paragraph", 800, 0),
     "token_chunks": ("token", 128, 16), "hard_cut_overlap_chunks": ("hard_cut", 500, 50), "optimal_chunks": ("optimal", 2000, 0), "semantic_chunks": ("semantic", 1200, 0),
 }.items():
-    QUERIES[_name] = _chunks(*_args, lambda s, d: table(s, d, "documents").select("doc_id", "text"))
+    QUERIES[_name] = _chunks(*_args, lambda s, d: table(s, d, "documents").select("doc_id", "text"), **_OPTIONS.get(_name, {}))
 for _name, _args in {"markdown_chunks": ("markdown", 700, 0), "heading_chunks": ("heading", 700, 0)}.items():
     QUERIES[_name] = _chunks(*_args, markdown)
 

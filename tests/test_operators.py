@@ -253,3 +253,27 @@ def test_readers_and_codecs(spark, tmp_path):
     cache = spark.createDataFrame([], "key string, embedding array<float>")
     rows, grown = readers.cached_embeddings(spark.createDataFrame([("a b",), ("a b",), ("c",)], "text string"), cache, lambda c: hashing_embedding(c, 8), "p", "m")
     assert rows.count() == 3 and grown.count() == 2
+
+
+def test_semantic_and_token_chunks_embed_and_tokenise(spark):
+    from tessera.functions.text import hashing_vectors
+    from tessera.functions.tokenizer import Tokenizer
+    from tessera.plans import catalog_engine
+
+    sf, t = "/root/testdata/sf0.001", Tokenizer()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text}
+
+    def by_doc(name):
+        out = {}
+        for r in catalog_engine.QUERIES[name](spark, sf).collect():
+            out.setdefault(r.doc_id, {})[r.id] = r.text
+        return {d: [c[i] for i in sorted(c)] for d, c in out.items()}
+
+    for name, size, overlap, options, plain in (("token_chunks", 128, 16, {"tokenizer": t}, {}), ("semantic_chunks", 1200, 0, {"embed": hashing_vectors}, {})):
+        strategy = name.split("_")[0]
+        got = by_doc(name)
+        one = lambda text, o: [p["text"] for p in chunking.pieces(text, strategy, size, overlap, **o)]
+        want, fallback = ({d: x for d, text in docs.items() if (x := one(text, o))} for o in (options, plain))
+        assert got == want and got != fallback
+        if strategy == "token":
+            assert max(len(t.encode(x)) for c in got.values() for x in c) <= 132
