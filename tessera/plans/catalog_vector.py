@@ -303,7 +303,7 @@ def kmeans_assign_fixed_centroids(spark, d):
 
 @query()
 def kmeans_clusters(spark, d):
-    return rounded(cluster.kmeans(spark, _emb(spark, d), 8, rounds=8)[0].select("id", "cluster", "distance"))
+    return rounded(cluster.kmeans(spark, _emb(spark, d), 8)[0].select("id", "cluster", "distance"))
 
 
 @query()

@@ -277,3 +277,15 @@ def test_semantic_and_token_chunks_embed_and_tokenise(spark):
         assert got == want and got != fallback
         if strategy == "token":
             assert max(len(t.encode(x)) for c in got.values() for x in c) <= 132
+
+
+def test_kmeans_clusters_has_converged(spark):
+    from tessera.plans import catalog_vector
+
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    got = {r.id: r.cluster for r in catalog_vector.QUERIES["kmeans_clusters"](spark, sf).collect()}
+    x, a = np.array(e.embedding.tolist(), float), np.array([got[i] for i in e.vec_id])
+    c = np.array([x[a == j].mean(0) for j in range(8)])
+    sim = (x @ (c / np.linalg.norm(c, axis=1)[:, None]).T) / np.linalg.norm(x, axis=1)[:, None]
+    assert (sim.max(1) - sim[np.arange(len(x)), a] < 1e-5).all()
