@@ -341,8 +341,9 @@ def pq_adc_topk(spark, d):
 
 @query()
 def pq_trained_topk(spark, d):
-    book = cluster.train_codebook(_emb(spark, d), 8, 32)
-    return _ranked(rounded(cluster.pq_search(vector_queries(spark, d), cluster.encode(_emb(spark, d), book, 8), book, 8, 5)))
+    e = _emb(spark, d)
+    book = cluster.train_codebook(e, 8)
+    return _ranked(rounded(cluster.pq_rerank(vector_queries(spark, d), e, cluster.encode(e, book, 8), book, 8, 5)))
 
 
 @query()

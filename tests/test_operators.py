@@ -289,3 +289,21 @@ def test_kmeans_clusters_has_converged(spark):
     c = np.array([x[a == j].mean(0) for j in range(8)])
     sim = (x @ (c / np.linalg.norm(c, axis=1)[:, None]).T) / np.linalg.norm(x, axis=1)[:, None]
     assert (sim.max(1) - sim[np.arange(len(x)), a] < 1e-5).all()
+
+
+def test_pq_trained_recall(spark):
+    from tessera.plans import catalog_vector
+
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids, x = e.vec_id.to_numpy(), np.array(e.embedding.tolist(), float)
+    row = {r: i for i, r in enumerate(ids)}
+    got = catalog_vector.QUERIES["pq_trained_topk"](spark, sf).collect()
+    nearest = {q: set(ids[np.argsort(((x - x[row[q]]) ** 2).sum(1))[:5]]) for q in {r.query_id for r in got}}
+    assert len(got) == 5 * len(nearest) and sum(r.id in nearest[r.query_id] for r in got) >= 0.9 * len(got)
+
+
+def test_codebook_is_trained_on_all_vectors(spark):
+    v = spark.createDataFrame([(i, [float(i % 2 * 10 + i % 7)]) for i in range(400)], "vec_id long, embedding array<double>")
+    got = sorted(r.c[0] for r in cluster.train_codebook(v, 1, 2, sample=20).collect())
+    assert got == pytest.approx([np.mean([i % 7 for i in range(0, 400, 2)]), np.mean([10 + i % 7 for i in range(1, 400, 2)])])
