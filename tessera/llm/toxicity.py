@@ -4,12 +4,19 @@ Two zstandard dictionaries are trained, on toxic and on ordinary text; a window
 of text counts as toxic by how many bytes fewer it takes with the toxic
 dictionary. A window is one word with the spaces around it, since an insult is
 often a single word in otherwise ordinary prose. Both dictionaries hold the
-same ordinary part and a carrier that precedes and follows every window, so
-that zstandard's fixed costs cancel out and only what the toxic part adds shows.
+same part trained on ordinary text at large and a carrier that precedes and follows
+every window, so that zstandard's fixed costs cancel out; besides, each has a part of its own, of
+the same size: the one trained on toxic passages, the other on those ordinary passages that the toxic one would
+shorten. So the two compete for a window.
 A document's score is the sum of its two highest window scores; documents above
-a threshold calibrated on held-out labelled ones are toxic.
+a threshold calibrated on labelled ones that nothing was trained on are toxic.
 
-Defined results: a null or empty text scores 0 and is not toxic; rows without a
+Windows of two or three words, and toxic parts trained on such passages, were tried: at under 1 % false alarms
+they found 0.87 to 0.92 of held-out toxic documents of the larger tables and 0.45 to 0.55 at sf0.1, since lengths are
+whole bytes and one insult among hundreds of ordinary words then differs less than chance does.
+
+Defined results: of labels that contradict each other the toxic one counts; labelled documents are taken in the order of a hash
+of id and text, so that repeated ids with different texts give the same model in any order of rows; a null or empty text scores 0 and is not toxic; rows without a
 doc_id aren't scored (`toxicity`) and are kept (`without_toxic`); repeated rows
 are scored alike; other columns are ignored and kept. Without labels of both
 kinds nothing is toxic.
@@ -134,19 +141,24 @@ def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(pairs[:, 0], return_counts=True)
 
 
+#: What precedes the content of a trained dictionary takes less than this.
+_HEADER = 512
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """The content of a trained dictionary, without its entropy tables; all samples joined where there is too little to train on."""
+    """The content of a trained dictionary, without its entropy tables; the samples themselves where they are too few to fill one."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[400:]
+        made = zstandard.train_dictionary(size + _HEADER, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+        made = b""
+    return made[-size:] if len(made) == size + _HEADER else b"".join(dict.fromkeys(samples))[-size:]
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Train the dictionaries on two thirds of the texts and the threshold on the others.
 
-    What the toxic dictionary is trained on: the words that occur in toxic texts in
-    significantly more contexts than in ordinary ones.
+    What the toxic dictionary is trained on: of each toxic text the words that occur in toxic texts in
+    significantly more contexts than in ordinary ones, in their order; they say where in a long text its toxicity lies.
     """
     held = [x[2::3] for x in (toxic, ordinary)]
     toxic, ordinary = ([t for i, t in enumerate(x) if i % 3 < 2] for x in (toxic, ordinary))
@@ -168,13 +180,21 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
         return Model(b"", b"", np.zeros(1 << 16, np.int8), 0, 0)
     words = set(lexicon)
     samples = [(" " + " ".join(x) + " ").encode() for t in toxic if (x := [w for w in t if w in words])]
-    # every word of the lexicon is in the dictionary; what training found most frequent lies last, where matches are cheapest
-    part = (" " + " ".join(lexicon) + " ").encode() + _dictionary(samples, min(DICT_BYTES, sum(map(len, samples)) // 4))
-    base = _dictionary([" ".join(t[i : i + 40]).encode() for t in map(_tokens, ordinary) for i in range(0, min(len(t), 400), 40)], DICT_BYTES)
-    filler = bytes(20 + i % 11 for i in range(len(part)))
+    part = _dictionary(samples, min(DICT_BYTES, max(1, sum(map(len, samples)) // 2)))
+    plain = [_tokens(t) for t in ordinary]
+    passages = [" ".join(t[i : i + 40]).encode() for t in plain for i in range(0, len(t), 40)]
+    base = _dictionary(passages, DICT_BYTES) + _CARRIER
     runs = np.zeros(1 << 16, np.int8)
-    runs[_runs(np.frombuffer((" " + " ".join(lexicon) + " ").encode("utf-32-le"), np.uint32))] = 1
-    model = Model(part + base + _CARRIER, filler + base + _CARRIER, runs, 0, 1 << 20)
+    runs[_runs(np.frombuffer(part.decode("utf-8", "ignore").encode("utf-32-le"), np.uint32))] = 1
+    model = Model(part + base, _filled(passages, len(part)) + base, runs, 0, 1 << 20)
+    # the ordinary part is trained again on what the toxic one would shorten
+    scorer = Scorer(model)
+    for i in range(0, len(ordinary), 100):
+        scorer.documents(ordinary[i : i + 100])
+    tempting = {w for w, (s, _) in scorer.known.items() if s > 0}
+    hard = [(" " + " ".join(t[max(0, i - 1) : i + 2]) + " ").encode() for t in plain for i, w in enumerate(t) if w in tempting]
+    if hard:
+        model = model._replace(ordinary=_filled(hard, len(part)) + base)
     # windows of the lexicon's own words show what the toxic dictionary can bring a window down to
     scorer = Scorer(model)
     for w in lexicon:
@@ -189,6 +209,12 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     return best[3]
 
 
+def _filled(samples: list[bytes], size: int) -> bytes:
+    """A trained part of exactly this size, so that both dictionaries are equally long."""
+    got = _dictionary(samples, size)
+    return bytes(20 + i % 11 for i in range(size - len(got))) + got
+
+
 def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, int]:
     """(errors, threshold): the highest of the thresholds with the fewest errors, where an ordinary document rejected counts five times."""
     best = (math.inf, 0)
@@ -199,12 +225,12 @@ def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, int]:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled documents, chosen by a hash of the doc_id."""
-    labels = labels.select(F.col("doc_id").cast("long"), "toxic").where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    labels = labels.select(F.col("doc_id").cast("long"), "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = {}
     for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         some = labels.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = T.prepared(docs, "text").join(F.broadcast(some), "doc_id").where("text is not null").select("doc_id", "text").collect()
-        texts[kind] = [r.text for r in sorted(rows, key=lambda r: T.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0])]
+        rows = T.prepared(docs, "text").join(F.broadcast(some), "doc_id").where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).collect()
+        texts[kind] = [r.text for r in sorted(rows, key=lambda r: (r.h, r.text))]
     return fit(texts[1], texts[0])
 
 

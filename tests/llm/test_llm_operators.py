@@ -172,12 +172,40 @@ def test_decontamination_awkward(spark, awkward, nothing):
 
 
 def test_toxicity_on_held_out_labels(spark):
+    """Trained on two thirds of the labels, measured on the documents of the others."""
     sf = "/root/testdata/sf0.1"
     d, labels = textops.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
-    m = toxicity.train(spark, d, labels)
-    got = toxicity.toxicity(spark, d, m).join(labels, "doc_id").groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("share")).collect()
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    m = toxicity.train(spark, d, labels.where(~third))
+    got = toxicity.toxicity(spark, d.join(labels.where(third), "doc_id", "left_semi"), m).join(labels, "doc_id").groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("share")).collect()
     share = {r.toxic: r.share for r in got}
-    assert share[1] > 0.9 and share[0] < 0.01
+    assert share[1] > 0.8 and share[0] < 0.01  # 0.849 and 0.003 were measured
+
+
+def test_toxicity_scores_are_differences_of_compressed_lengths():
+    """Every word of every text compressed with both dictionaries, without what the operator leaves out or remembers."""
+    rng = random.Random(4)
+    ordinary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(300)]
+    bad = ["zoxquav", "mirfeltz", "wupplequ"]
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    plain = [text(ordinary, 60) for _ in range(300)]
+    toxic = [text(ordinary, 30) + " " + rng.choice(bad) + " " + text(ordinary, 20) + " " + rng.choice(bad) for _ in range(120)]
+    m = toxicity.fit(toxic, plain)
+    assert len(m.toxic) == len(m.ordinary)
+    a, b = toxicity._compressor(m.toxic), toxicity._compressor(m.ordinary)
+
+    def brute(t):
+        scores = []
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            window = toxicity._CARRIER + f" {w} ".encode() + toxicity._CARRIER[:16]
+            short = len(a.compress(window))
+            scores.append(max(0, len(b.compress(window)) - short) if short <= m.longest else 0)
+        return sum(sorted(scores)[-2:])
+
+    fresh = [text(ordinary, 40) for _ in range(60)] + [text(ordinary, 40) + f" {x} " + text(ordinary, 5) + f" {y}" for x in bad for y in bad]
+    got = toxicity.Scorer(m).documents(fresh)
+    assert got.tolist() == [brute(t) for t in fresh]
+    assert (got[60:] > m.threshold).all() and (got[:60] <= m.threshold).mean() > 0.95
 
 
 def test_toxicity_awkward(spark, awkward, nothing):
