@@ -14,7 +14,6 @@ repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -74,35 +73,37 @@ def _grams(cp: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return T.mix(x), owner[at]
 
 
-def _table(counts: list[Counter], least: int) -> Table:
-    total = Counter()
-    for c in counts:
-        total.update(c)
-    keys = np.array(sorted(k for k, n in total.items() if n >= least), np.uint64)
+def _table(counts: list[list[np.ndarray]]) -> Table:
+    """Log-frequencies of everything that any language's sample has; counts: by language, lists of hashes."""
+    each = [np.unique(np.concatenate(c), return_counts=True) if c else (np.zeros(0, np.uint64), np.zeros(0, int)) for c in counts]
+    keys = np.unique(np.concatenate([k for k, _ in each])) if each else np.zeros(0, np.uint64)
     logs = np.zeros((len(keys), len(counts)))
-    for j, c in enumerate(counts):
-        n = np.array([c.get(k, 0) for k in keys.tolist()], float)
-        logs[:, j] = np.log((n + 0.5) / (sum(c.values()) + 0.5 * (len(keys) + 1)))
+    for j, (k, c) in enumerate(each):
+        n = np.zeros(len(keys))
+        n[np.searchsorted(keys, k)] = c
+        logs[:, j] = np.log((n + 0.5) / (c.sum() + 0.5 * (len(keys) + 1)))
     return Table(keys, logs)
 
 
 def fit(texts: dict[str, list[str]]) -> Model:
-    """Count words and n-grams of each language's texts."""
+    """Count the words of each language's texts, and the n-grams of its distinct words: they serve for unseen ones."""
     languages = sorted(texts)
     words, grams = [], [[] for _ in range(LONGEST)]
     for lang in languages:
-        cw, cg = Counter(), [Counter() for _ in range(LONGEST)]
+        cw, cg, seen = [], [[] for _ in range(LONGEST)], np.zeros(0, np.uint64)
         for i in range(0, len(texts[lang]), 50):
             w = T.words(texts[lang][i : i + 50])
-            cw.update(w.hash.tolist())
-            _, rows = np.unique(w.hash, return_index=True)  # n-grams are counted over distinct words: they serve for unseen ones
-            cp, owner = _marked(w, rows)
+            cw.append(w.hash)
+            distinct, rows = np.unique(w.hash, return_index=True)
+            new = ~np.isin(distinct, seen)
+            seen = np.union1d(seen, distinct)
+            cp, owner = _marked(w, rows[new])
             for n in range(LONGEST):
-                cg[n].update(_grams(cp, owner, n + 1)[0].tolist())
+                cg[n].append(_grams(cp, owner, n + 1)[0])
         words.append(cw)
         for n in range(LONGEST):
             grams[n].append(cg[n])
-    return Model(languages, _table(words, 2), [_table(g, 2) for g in grams])
+    return Model(languages, _table(words), [_table(g) for g in grams])
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:

@@ -23,8 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textops as T
 
@@ -35,6 +38,7 @@ MIN_TOKENS = 3
 BUCKETS = 1 << 24
 
 
+_WORD = regex.compile(r"[\p{L}\p{N}]")
 #: Bits of a set's signature beyond 64.
 _EXTRA = 27
 
@@ -54,11 +58,13 @@ def _count(batches):
 def line_sets(w: T.Words, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, hash, rarity) of the distinct tokens of each line, by line, rarity and hash."""
     q = rarity[_bucket(w.hash)] if len(rarity) else np.zeros(len(w.hash), np.uint8)
-    if len(w.line_doc) < 1 << 20:
-        key = (w.line.astype(np.uint64) << np.uint64(44)) | (q.astype(np.uint64) << np.uint64(36)) | (w.hash >> np.uint64(28))
-        order = np.argsort(key)
-    else:
-        order = np.lexsort((w.hash, q, w.line))
+    # a key holds 20 bits of the line's number, so that many lines are sorted in parts
+    parts = []
+    for lo in range(0, len(w.line_doc), 1 << 20):
+        i, j = np.searchsorted(w.line, (lo, lo + (1 << 20)))
+        key = ((w.line[i:j] - lo).astype(np.uint64) << np.uint64(44)) | (q[i:j].astype(np.uint64) << np.uint64(36)) | (w.hash[i:j] >> np.uint64(28))
+        parts.append(i + np.argsort(key))
+    order = np.concatenate(parts)
     line, h, q = w.line[order], w.hash[order], q[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -256,11 +262,29 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A document goes only if lines were removed and no word is left.
     """
-    gone = removed_lines(spark, docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
-    out = out.withColumn("text", text).where(F.col("__gone").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    ident, lines = T.unused(docs, "id"), T.unused(docs, "gone")
+    gone = removed_lines(spark, docs).groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set("line_no").alias(lines))
+    out = docs.join(gone, docs["doc_id"].cast("long") == gone[ident], "left")
+    columns, schema = docs.columns, to_arrow_schema(docs.schema)
+    counted = "n_chars" in columns
+
+    def cut(batches):
+        for batch in batches:
+            touched = pc.and_(pc.is_valid(batch.column(lines)), pc.is_valid(batch.column("text"))).to_pylist()
+            keep = [True] * len(touched)
+            if any(touched):
+                texts, numbers = batch.column("text").to_pylist(), batch.column(lines)
+                size = batch.column("n_chars").to_pylist() if counted else None
+                for i in np.flatnonzero(touched).tolist():
+                    bad = set(numbers[i].as_py())
+                    texts[i] = "\n".join(line for n, line in enumerate(texts[i].split("\n")) if n not in bad)
+                    keep[i] = bool(_WORD.search(texts[i]))
+                    if counted:
+                        size[i] = len(texts[i])
+                new = {"text": pa.array(texts, schema.field("text").type)} | ({"n_chars": pa.array(size).cast(schema.field("n_chars").type)} if counted else {})
+                batch = pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], schema=schema)
+            else:
+                batch = batch.select(columns)
+            yield batch if all(keep) else batch.filter(pa.array(keep))
+
+    return out.select(*columns, lines).mapInArrow(cut, docs.schema)

@@ -14,8 +14,8 @@ its length.
 
 Signatures are cut into BANDS. Documents with equal bags are represented by one. In
 each bucket of a band, every member is compared with the least one, by the exact
-overlap of the multisets; members of one bucket that are still in different components
-after that are compared pair by pair. So each pair that shares a bucket is either
+overlap of the multisets; in buckets that still hold different components after that, every member is compared with
+the least one of those that the first isn't connected to; and what is apart even then is compared pair by pair. So each pair that shares a bucket is either
 compared or already connected, and a bucket of thousands of copies takes as many
 comparisons as it has members.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .graph import components
+from ..operators.dedup import components
 
 BANDS, ROWS = 50, 5
 COMPONENTS = BANDS * ROWS
@@ -171,6 +171,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(T.in_slices(rows, schema, "text_a"), "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with the roots of their components, of the buckets that hold more than one component."""
+    w = Window.partitionBy("bucket")
+    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where(F.col("lo") < F.col("hi")).drop("lo", "hi")
+
+
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, group_id) of every document that has a near-duplicate; group_id is the least doc_id of the group."""
     T.shared_folder(spark)
@@ -184,18 +191,24 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = members.select("bucket", "id", "first").checkpoint()
     stars = members.where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     linked = _verified(stars, texts).select("a", "b").checkpoint()
-    root = components(spark, linked).checkpoint()
-    # what the comparisons with the first member leave apart within a bucket
-    placed = members.select("bucket", "id", "first").join(root, "id", "left").select("bucket", "id", "first", F.coalesce("root", "id").alias("root"))
-    mixed = placed.withColumn("lo", F.min("root").over(in_bucket)).withColumn("hi", F.max("root").over(in_bucket)).where(F.col("lo") < F.col("hi")).select("bucket", "id", "first", "root")
+    # again with the least member that isn't connected to the first one
+    mixed = _mixed(members, components(spark, linked))
+    least = F.min(F.when(F.col("root") != F.col("first_root"), F.col("id"))).over(in_bucket)
+    mixed = mixed.withColumn("first_root", F.max(F.when(F.col("id") == F.col("first"), F.col("root"))).over(in_bucket)).withColumn("second", least).select("bucket", "id", "first", "second", "root").checkpoint()
+    second_root = F.max(F.when(F.col("id") == F.col("second"), F.col("root"))).over(in_bucket)
+    stars = mixed.where(F.col("id") != F.col("first")).withColumn("second_root", second_root).where((F.col("root") != F.col("second_root")) & (F.col("id") != F.col("second")))
+    stars = stars.select(F.greatest("id", "second").alias("a"), F.least("id", "second").alias("b")).distinct()
+    linked = linked.union(_verified(stars, texts).select("a", "b")).checkpoint()
+    # what both leave apart within a bucket meets pair by pair
+    mixed = _mixed(mixed.drop("root"), components(spark, linked)).select("bucket", "id", "first", "second", "root")
     other = mixed.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    apart = mixed.join(other, "bucket").where((F.col("id") > F.col("b")) & (F.col("root") != F.col("root_b")) & (F.col("b") != F.col("first"))).select(F.col("id").alias("a"), "b").distinct()
-    late = _verified(apart, texts).select("a", "b")
+    apart = mixed.join(other, "bucket").where((F.col("id") > F.col("b")) & (F.col("root") != F.col("root_b")) & ~F.col("b").isin(F.col("first"), F.col("second")) & (F.col("id") != F.col("second")))
+    late = _verified(apart.select(F.col("id").alias("a"), "b").distinct(), texts).select("a", "b")
     found = components(spark, linked.union(late).union(same))
     return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without all but the least of each group, with all their columns."""
-    gone = groups(spark, docs).where("doc_id != group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = groups(spark, docs).where("doc_id != group_id").select(F.col("doc_id").alias(T.unused(docs, "gone")))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")

@@ -10,6 +10,9 @@ number that could hold the shard and rises whenever a window exceeds the capacit
 
 Only ids and lengths are shuffled, never texts.
 
+A piece's shard follows from its id and the place of its row in the counted table, so that rows without an id, or
+thousands with the same one, spread over all shards.
+
 Defined results: documents without tokens (null or empty text) are pieces of length
 0; null doc_ids and repeated rows are packed like any other row; of equal pieces the
 smaller doc_id, then piece, goes first; an empty table gives no windows; other
@@ -30,6 +33,8 @@ from .tokens import VOCABULARY, counted
 
 CAPACITY = 8192
 SHARD_WINDOWS = 64
+#: Pieces of a shard, about, where they are too short to fill its windows.
+SHARD_PIECES = 1 << 17
 
 
 def difference(lengths: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -78,7 +83,7 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def packed(pieces: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """Windows of pieces (doc_id, piece, n_tokens), shard by shard."""
+    """Windows of pieces (doc_id, piece, n_tokens, row), shard by shard; row is any number that repeated rows don't share."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
@@ -93,7 +98,7 @@ def packed(pieces: DataFrame, capacity: int, shards: int) -> DataFrame:
         pdf["window_tokens"] = pdf.groupby("window").n_tokens.transform("sum")
         return pdf[["shard", "window", "doc_id", "piece", "n_tokens", "window_tokens"]]
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(pack, "shard int, window int, doc_id long, piece int, n_tokens long, window_tokens long")
 
 
@@ -101,9 +106,10 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, path: s
     """(shard, window, doc_id, piece, n_tokens, window_tokens): a row for each piece of each document."""
     T.shared_folder(spark)
     lengths = counted(docs, path).checkpoint()  # counted once, then read for the total and for the windows
-    total = lengths.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / (capacity * SHARD_WINDOWS)))
+    lengths = lengths.withColumn("row", F.monotonically_increasing_id())  # the same each time, since the table is written
+    total, n = lengths.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    shards = max(1, math.ceil(total / (capacity * SHARD_WINDOWS)), math.ceil(n / SHARD_PIECES))
     last = F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1)).cast("int") - 1
-    pieces = lengths.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.col("n_tokens") - F.col("piece").cast("long") * capacity, F.lit(capacity)).alias("n_tokens"))
+    pieces = lengths.select("doc_id", "row", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", F.least(F.col("n_tokens") - F.col("piece").cast("long") * capacity, F.lit(capacity)).alias("n_tokens"))
     return packed(pieces, capacity, shards)

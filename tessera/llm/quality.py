@@ -6,7 +6,8 @@ path within the host. A site's rate is shrunk: a host's toward the global rate,
 path's toward its host's, by Beta priors whose strengths are fitted to how much hosts
 and paths differ beyond chance (method of moments). Sparse sites stay near what is above
 them. A document's score combines the evidence with the posterior of its path without
-the document itself.
+the document itself: its value is taken out of the path, the host and the whole before they are
+shrunk. Only the two prior strengths, one number each for the corpus, are fitted over all.
 
 Sites come from a table of pages whose URL ends in the document's id; a document without
 a page has its `source` as host and its `lang` as path.
@@ -157,14 +158,17 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, pages: Data
     known = seen.join(sites(docs, pages), "doc_id").join(known_labels(labels), "doc_id", "left").withColumn("v", F.coalesce(F.col("quality").cast("double"), F.col("evidence"))).checkpoint()
     path = known.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("v").alias("s"))
     host = path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    whole = host.agg((F.sum("s") / F.sum("n")).alias("rate"))
+    whole = host.agg((F.sum("s") / F.sum("n")).alias("rate"), F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     # one row each, whatever the input
-    prior = host.crossJoin(F.broadcast(whole)).agg(F.max("rate").alias("rate"), _strength(host, F.col("rate")).alias("host_strength"))
-    hosts = host.crossJoin(F.broadcast(prior)).select("host", "rate", ((F.col("s") + F.col("rate") * F.col("host_strength")) / (F.col("n") + F.col("host_strength"))).alias("host_rate"))
+    prior = host.crossJoin(F.broadcast(whole)).agg(*(F.max(c).alias(c) for c in ("rate", "all_s", "all_n")), _strength(host, F.col("rate")).alias("host_strength"))
+    hosts = host.crossJoin(F.broadcast(prior)).select("host", "all_s", "all_n", "host_strength", F.col("s").alias("host_s"), F.col("n").alias("host_n"), ((F.col("s") + F.col("rate") * F.col("host_strength")) / (F.col("n") + F.col("host_strength"))).alias("host_rate"))
     paths = path.join(hosts, "host")
     inner = paths.agg(_strength(paths, F.col("host_rate")).alias("path_strength"))
-    paths = paths.crossJoin(F.broadcast(inner)).select("host", "path", "n", "s", "rate", "host_rate", "path_strength")
+    paths = paths.crossJoin(F.broadcast(inner)).drop("host_rate")
     out = known.join(paths, ["host", "path"])
-    rest = (F.col("s") - F.col("v") + F.col("host_rate") * F.col("path_strength")) / (F.col("n") - 1 + F.col("path_strength"))
+    # without the document, level by level; a document that is all there is has a rate of 0.5 above it
+    rate = F.when(F.col("all_n") > 1, (F.col("all_s") - F.col("v")) / (F.col("all_n") - 1)).otherwise(0.5)
+    host_rate = (F.col("host_s") - F.col("v") + rate * F.col("host_strength")) / (F.col("host_n") - 1 + F.col("host_strength"))
+    rest = (F.col("s") - F.col("v") + host_rate * F.col("path_strength")) / (F.col("n") - 1 + F.col("path_strength"))
     score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + _logit(rest))))
-    return out.select("doc_id", "evidence", "host_rate", rest.alias("path_rate"), score.alias("score"), (score >= 0.5).alias("is_good"))
+    return out.select("doc_id", "evidence", host_rate.alias("host_rate"), rest.alias("path_rate"), score.alias("score"), (score >= 0.5).alias("is_good"))

@@ -28,8 +28,8 @@ from . import textops as T
 LEAST = 16
 #: Places within which a stretch ends at a cut.
 NEAR = 6
-#: Labelled samples of each kind, and documents that ordinary identifiers are taken from, at most.
-SAMPLES, SAMPLE_DOCUMENTS = 6000, 1500
+#: Labelled samples of each kind, at most.
+SAMPLES = 6000
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 _N = len(_CHARS) + 1  # 0 is the start
 _CODE = np.zeros(0x110000, np.uint8)
@@ -187,14 +187,12 @@ def found(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> Model:
-    """Fit on `labelled` (sample string, is_secret boolean), or on samples made here: random strings, and identifiers
-    made of the words of a bounded number of documents, chosen by a hash of the doc_id."""
+    """Fit on a bounded sample of `labelled` (sample string, is_secret boolean), or, where there are no labels, on
+    SAMPLES random strings and as many identifiers made of the commonest words, counted over all documents."""
     if labelled is not None:
         rows = labelled.where("sample is not null and is_secret is not null").select("sample", "is_secret").orderBy(F.xxhash64("sample"), "sample").limit(2 * SAMPLES).collect()
         return fit([r.sample for r in rows if r.is_secret], [r.sample for r in rows if not r.is_secret])
-    ids = T.prepared(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).dropDuplicates()
-    texts = T.prepared(docs, "text").join(F.broadcast(ids), "doc_id")
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(4 * SAMPLES)
+    words = T.prepared(docs, "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(4 * SAMPLES)
     return fit(random_strings(SAMPLES), identifiers([r.w for r in words.collect()], SAMPLES))
 
 

@@ -12,6 +12,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -232,21 +233,55 @@ def as_blocks(table: np.ndarray, block: int = 1 << 18) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=BLOCKS)
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """checkpoint() goes to the cluster's shared folder; a folder of our own serves only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that checkpoint() and written() use: the cluster's shared one; a folder of our own serves only in local mode."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+_scopes: list[list[str]] = []
+
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Removes, at its end, the tables that written() made within it; what reads them must be done by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The rows, from a table written to the shared folder: what checkpoint() does, but in compressed columns."""
-    shared_folder(spark)
-    path = posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"table-{uuid.uuid4()}")
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows, from a table written to the shared folder: what checkpoint() does, but in compressed columns.
+
+    Written within temporary(), the table goes at its end; else it is left to the cluster's clean-up, as checkpoints are.
+    """
+    path = posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4()}")
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

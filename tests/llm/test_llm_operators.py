@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, gif, langid, linededup, neardup, packing, quality, secrets, textops, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
-EXTRA = "doc_id long, text string, lang string, source string, n_chars long, hash string, line_no int, root string, token string, size double, language string, score string"
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, hash string, line_no int, root string, token string, size double, language string, score string, id long, gone string, bad int, __id int, __gone int, __bad int, row int, runs int, first int, bands string"
 
 
 def rows(*docs):
-    return [(i, t, lang, "s", len(t or ""), "h", 1, "r", "t", 0.5, "x", "y") for i, t, lang in docs]
+    return [(i, t, lang, "s", len(t or ""), "h", 1, "r", "t", 0.5, "x", "y", 3, "g", 1, 1, 1, 1, 1, 1, 1, "b") for i, t, lang in docs]
 
 
 LONG = " ".join(f"w{i % 997}" for i in range(40_000))
@@ -164,6 +164,52 @@ def test_decontamination_tolerates_replaced_blocks(spark):
     assert got == {(0, 1): (30, 40), (1, 2): (40, 60)}
 
 
+def brute_share(item, text):
+    """What segments cover of an item, diagonal by diagonal and segment by segment, from the definition."""
+    covered = set()
+    for d in range(-len(item) + 1, len(text)):
+        lo, hi = max(0, -d), min(len(item), len(text) - d)
+        same = [item[k] == text[k + d] for k in range(lo, hi)]
+        n = len(same)
+        hits = [k for k in range(n - decontam.SPAN + 1) if any(all(same[k + j] for j, c in enumerate(m) if c == "1") for m in decontam.MASKS)]
+        if not hits:
+            continue
+        gain = lambda i, j: sum(1 if x else -2 for x in same[i:j])
+        every = [(i, j) for i in range(n + 1) for j in range(i, n + 1)]
+        best = lambda some: max(some, key=lambda s: (gain(*s), s[1] - s[0]))
+        for i, j in [best(every)] + [best([s for s in every if s[0] <= k and s[1] >= k + decontam.SPAN]) for k in hits]:
+            covered |= {lo + k for k in range(i, j) if same[k]}
+    return len(covered)
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(6)
+    items = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(12, 28))] for _ in range(4)]
+    texts = []
+    for k in range(12):
+        copy = list(rng.choice(items))
+        for i in range(len(copy)):
+            if rng.random() < 0.02 * k:
+                copy[i] = "other"
+        texts.append([f"w{rng.randrange(40)}" for _ in range(8)] + copy[: rng.randrange(10, 30)] + [f"w{rng.randrange(40)}" for _ in range(8)])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontam.contaminated(spark, d, b).collect()}
+    want = {(i, j): n for i, t in enumerate(texts) for j, x in enumerate(items) if (n := brute_share(x, t)) >= max(decontam.MIN_SHARE * len(x), min(len(x), decontam.MIN_TOKENS))}
+    assert got == want and len(want) > 6
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """Equal words, and words by turns, in texts and items that repeat ids: a row for each seed, not for each pair of places."""
+    d = spark.createDataFrame([(1, "same " * 20_000), (2, "ab cd " * 10_000), (3, "ab cd ef gh ij kl mn op qr st uv wx yz " * 1500), (4, "unlike all the rest of them"), (1, "x")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "same " * 1000), (2, "cd ab " * 50), (3, "ab cd ef gh ij kl mn op qr st uv wx yz " * 20), (3, "nothing like it")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.share) for r in decontam.contaminated(spark, d, b).collect()}
+    assert got == {(1, 1): (1000, 1.0), (2, 2): (100, 1.0), (3, 3): (260, 1.0)}
+    w = textops.words(["same " * 20_000])
+    h, at = decontam.seeds(w.hash, w.doc, [0, 1], 10)
+    assert len(decontam._runs(w.doc[at], h, at)[0]) == 1
+
+
 def test_decontamination_awkward(spark, awkward, nothing):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.decontaminated(spark, awkward, bench).count() == len(AWKWARD)
@@ -256,6 +302,15 @@ def test_packing(spark, docs):
     assert len(used) <= 1.15 * sum(lengths.values()) / 2048 + 2
 
 
+def test_packing_spreads_equal_ids(spark):
+    """Rows without an id, and rows that repeat one, don't meet in one shard; nor do texts without tokens."""
+    got = packing.pack(spark, spark.createDataFrame([(None, "one two three")] * 400 + [(5, "one two three")] * 400, "doc_id long, text string"), 16).collect()
+    for i in (None, 5):
+        mine = Counter(r.shard for r in got if r.doc_id == i)
+        assert sum(mine.values()) == 400 and max(mine.values()) < 200
+    assert packing.SHARD_PIECES < 1 << 20
+
+
 def test_differencing_beats_first_fit_spread():
     random.seed(5)
     lengths = [random.randrange(1, 900) for _ in range(200)]
@@ -345,12 +400,41 @@ def test_gif_awkward(spark):
     assert gif.frames(d.limit(0)).count() == 0
 
 
-def test_quality(spark):
-    sf = "/root/testdata/sf0.01"
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
     d, labels, pages = textops.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
-    got = quality.quality(spark, d, labels, pages, quality.train(spark, d, labels))
-    assert got.count() == d.count()
-    assert got.join(labels, "doc_id").agg(F.avg((F.col("is_good") == (F.col("quality") == 1)).cast("int"))).first()[0] > 0.95
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    known = labels.where(~third)
+    got = quality.quality(spark, d, known, pages, quality.train(spark, d, known))
+    assert got.count() == d.select("doc_id").distinct().count()
+    assert got.join(labels.where(third), "doc_id").agg(F.avg((F.col("is_good") == (F.col("quality") == 1)).cast("int"))).first()[0] > 0.9
+
+
+def test_quality_leaves_the_document_out(spark):
+    """By brute force: every document's rates from all others; its own label changes nothing but the two strengths."""
+    rng = random.Random(8)
+    at = {i: (f"h{rng.randrange(4)}", f"p{rng.randrange(3)}") for i in range(60)}
+    at[60] = ("alone", "only")
+    d = spark.createDataFrame([(i, "x", h, p) for i, (h, p) in at.items()], "doc_id long, text string, source string, lang string")
+    v = {i: rng.random() < 0.2 + 0.2 * int(at[i][0][-1] if at[i][0] != "alone" else 2) for i in at}
+    labels = spark.createDataFrame([(i, int(x)) for i, x in v.items()], "doc_id long, quality int")
+    m = quality.Model(np.zeros(14), np.ones(14), np.zeros(15))
+    got = {r.doc_id: r for r in quality.quality(spark, d, labels, spark.createDataFrame([], "page_id long, url string"), m).collect()}
+    # both strengths from any two documents' rates: they are the same for all
+    host = lambda i: [j for j in at if j != i and at[j][0] == at[i][0]]
+    path = lambda i: [j for j in at if j != i and at[j] == at[i]]
+    rate = {i: sum(v[j] for j in at if j != i) / (len(at) - 1) for i in at}
+    i = next(i for i in at if host(i) and abs(sum(v[j] for j in host(i)) / len(host(i)) - rate[i]) > 0.05)
+    # host_rate = (s + k rate) / (n + k), so k = (s - n host_rate) / (host_rate - rate)
+    k = (sum(v[j] for j in host(i)) - len(host(i)) * got[i].host_rate) / (got[i].host_rate - rate[i])
+    i = next(i for i in at if path(i) and abs(sum(v[j] for j in path(i)) / len(path(i)) - got[i].host_rate) > 0.02)
+    q = (sum(v[j] for j in path(i)) - len(path(i)) * got[i].path_rate) / (got[i].path_rate - got[i].host_rate)
+    for i in at:
+        h = (sum(v[j] for j in host(i)) + k * rate[i]) / (len(host(i)) + k)
+        p = (sum(v[j] for j in path(i)) + q * h) / (len(path(i)) + q)
+        assert got[i].host_rate == pytest.approx(h, abs=1e-6) and got[i].path_rate == pytest.approx(p, abs=1e-6)
+        assert got[i].score == pytest.approx(p, abs=1e-6)  # the evidence is even
+    assert got[60].host_rate == pytest.approx(rate[60]) and got[60].path_rate == pytest.approx(rate[60])
 
 
 def test_quality_shrinks_sparse_sites(spark):
@@ -377,6 +461,39 @@ def test_language_on_held_out_documents(spark):
     assert got > 0.97
 
 
+def test_language_scores_by_brute_force():
+    """Every word's score from dictionaries of strings: counts over the whole samples, and the longest known n-grams."""
+    rng = random.Random(2)
+    syllables = {"aa": ["ka", "ro", "min", "te"], "bb": ["lu", "shi", "ka", "non"], "cc": ["po", "te", "zu"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+    texts = {lang: [make(lang, 30) for _ in range(120)] for lang in syllables}
+    m, langs = langid.fit(texts), sorted(texts)
+    words = {lang: Counter(w for t in texts[lang] for w in t.split()) for lang in langs}
+
+    def grams(w, n):
+        marked = f"_{w}_"
+        return [marked[i : i + n] for i in range(len(marked) - n + 1) if marked[i : i + n] != "_"]
+
+    counts = {n: {lang: Counter(g for w in words[lang] for g in grams(w, n)) for lang in langs} for n in range(1, 6)}
+    log = lambda c, lang, x: np.log((c[lang][x] + 0.5) / (sum(c[lang].values()) + 0.5 * (len(set().union(*c.values())) + 1)))
+
+    def brute(text):
+        total = np.zeros(3)
+        for w in text.split():
+            if any(words[x][w] for x in langs):
+                total += [log(words, x, w) for x in langs]
+                continue
+            for n in range(5, 0, -1):
+                known = [g for g in grams(w, n) if any(counts[n][x][g] for x in langs)]
+                if known:
+                    total += [np.mean([log(counts[n], x, g) for g in known]) for x in langs]
+                    break
+        return total
+
+    fresh = [make(rng.choice(langs), 12) + " " + "".join(rng.choices("karominteluz", k=7)) for _ in range(40)] + ["qqq", "kakaroroq"]
+    assert np.allclose(langid.scores(m, fresh), [brute(t) for t in fresh])
+
+
 def test_language_backs_off():
     m = langid.fit({"aa": ["foo bar baz bar foo qux " * 3] * 3, "bb": ["nim nam num nom nem " * 3] * 3})
     s = langid.scores(m, ["foo", "barfoo", "numnam", "", "北"])
