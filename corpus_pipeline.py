@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, packed training windows out.
 
 Each stage works on all that the one before it kept and is written before the next
-reads it. All but the last return the columns of documents.
+reads it. All but the last return the columns of documents, whatever these are; further columns, of any name, come along.
 """
 
 from __future__ import annotations
@@ -16,28 +16,46 @@ from tessera.llm.catalog import benchmark, labels
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; the model is fitted on the labelled ones of the whole table.
+
+    Null and empty texts and rows without a doc_id: the former stay, the latter are judged by their texts. Repeated rows share
+    a fate. Very long texts are scored whole. Without labels of both kinds, or documents, nothing goes.
+    """
     whole = textops.documents(spark, sf_dir)
     return toxicity.without_toxic(spark, docs, toxicity.train(spark, whole, labels(spark, sf_dir)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line matches go, and documents of which nothing is left."""
+    """Lines that an earlier line matches go, and documents of which no word is left; n_chars follows the text.
+
+    Null and empty texts, rows without a doc_id and lines of fewer than three different words stay as they are. Rows that repeat
+    a doc_id are one document. Of equal lines the one with the lowest doc_id and line number stays.
+    """
     return linededup.without_repeated_lines(spark, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group of near-duplicates stays."""
+    """The least doc_id of each group of near-duplicates stays.
+
+    Texts without words and rows without a doc_id stay; rows that repeat a doc_id share a fate.
+    """
     return neardup.deduplicated(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null and empty texts and rows without a doc_id stay; rows that repeat a doc_id share a fate; without benchmark items nothing goes.
+    """
     return decontam.decontaminated(spark, docs, benchmark(spark, sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training windows of what is left."""
+    """Training windows of what is left, a row for each piece of each document.
+
+    Texts without tokens are pieces of length 0; rows without a doc_id and repeated rows are packed like all others; long texts are
+    cut into pieces; no documents give no windows.
+    """
     return packing.pack(spark, docs)
 
 
@@ -48,17 +66,25 @@ STAGES = [
     ("benchmark decontamination", drop_contaminated),
     ("packing", pack),
 ]
-#: SQL can't train dictionaries or count tokens; tests hold the pipeline against brute force.
+#: SQL can't train dictionaries or count tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. What the stages before it keep is written to the shared folder, a table for each."""
-    textops.shared_folder(spark)
-    folder = posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4()}")
-    docs = textops.documents(spark, sf_dir)
+    """The rows of the last stage.
+
+    What the stages before it keep is written to the shared folder, a table for each, which goes once the next stage is written;
+    packing reads its documents once, before it returns.
+    """
+    folder = posixpath.join(textops.shared_folder(spark), f"pipeline-{uuid.uuid4()}")
+    docs, read = textops.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         out = posixpath.join(folder, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with textops.temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if read:
+            textops.remove(spark, read)
+        docs, read = spark.read.parquet(out), out
+    windows = STAGES[-1][1](spark, docs, sf_dir)
+    textops.remove(spark, folder)
+    return windows
