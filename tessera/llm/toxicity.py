@@ -17,7 +17,7 @@ whole bytes and one insult among hundreds of ordinary words then differs less th
 
 Defined results: of labels that contradict each other the toxic one counts; labelled documents are taken in the order of a hash
 of id and text, so that repeated ids with different texts give the same model in any order of rows; a null or empty text scores 0 and is not toxic; rows without a
-doc_id aren't scored (`toxicity`) and are kept (`without_toxic`); repeated rows
+doc_id aren't scored by `toxicity`, and by `without_toxic` like all others; repeated rows
 are scored alike; other columns are ignored and kept. Without labels of both
 kinds nothing is toxic.
 """
