@@ -127,7 +127,7 @@ def counted(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def histogram(lengths: DataFrame) -> DataFrame:
+def histogram(spark: SparkSession, lengths: DataFrame) -> DataFrame:
     """Documents by length, with suffix sums: for each length L that occurs, as a context limit,
 
     n_docs of that length; docs_from and tokens_from, of that length or longer;
@@ -135,7 +135,9 @@ def histogram(lengths: DataFrame) -> DataFrame:
     quantile, the share of documents of at most that length.
     The sums are taken in blocks of lengths, so that no task gets the whole histogram.
     """
-    h = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    T.shared_folder(spark)
+    # a row for each length that occurs, read twice below, so that texts are encoded once
+    h = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK)).checkpoint()
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum(F.col("n_docs") * F.col("length")).alias("b_tokens"))
     later = Window.orderBy(F.col("block").desc())
     after = later.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,4 +159,4 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    return histogram(counted(docs, path))
+    return histogram(spark, counted(docs, path))
