@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -122,12 +123,14 @@ def keyword_tokens(text: Column | str, min_length: int = 4, extra_stop: Sequence
     return F.filter(parts, lambda t: (F.char_length(t) >= min_length) & ~F.array_contains(stop, t))
 
 
-def near_term(a: Column, b: Column) -> Column:
-    """Long terms within an edit distance of 1 (2 from ten characters on), after one trailing s is dropped from each."""
-    strip = lambda c: F.regexp_replace(_col(c), "s$", "")
-    x, y = strip(a), strip(b)
-    size = F.least(F.char_length(x), F.char_length(y))
-    return F.when(x == y, True).when(size < 7, False).otherwise(F.levenshtein(x, y) <= F.when(size >= 10, 2).otherwise(1))
+def near_term(term: Column, candidate: Column) -> Column:
+    """Whether a candidate of seven characters or more lies within an edit distance of 1 of the term, 2 if the TERM has ten or more.
+
+    One trailing s is dropped from each. Shorter terms match nothing, not even themselves; so the rule is a directed one.
+    """
+    x, y = F.regexp_replace(F.lower(_col(term)), "s$", ""), F.regexp_replace(_col(candidate), "s$", "")
+    size = F.char_length(x)
+    return (size >= 7) & (F.char_length(y) >= 7) & (F.levenshtein(x, y) <= F.when(size >= 10, 2).otherwise(1))
 
 
 def _winkler(a: str, b: str) -> float:
@@ -168,50 +171,79 @@ def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     return run(_col(a), _col(b))
 
 
-def _alias(query: str, phrases: list[str]) -> tuple[float, str]:
-    """How well a query names something: best over its phrase (the first) and aliases."""
+def _fuzzy(a: str, b: str) -> bool:
+    """Different words of four characters or more whose lengths differ by 1 at most (2 from ten characters on) and that are similar."""
+    short, long = sorted((len(a), len(b)))
+    return a != b and short >= 4 and long - short <= (2 if short >= 10 else 1) and _winkler(a, b) >= 0.88
+
+
+def _matched(query: list[str], target: list[str]) -> tuple[int, bool]:
+    """(how many target words find a query word of their own, whether any of them only by similarity); equal words go first."""
+    free, open_ = list(range(len(query))), []
+    for word in target:
+        same = next((j for j in free if query[j] == word), None)
+        if same is None:
+            open_.append(word)
+        else:
+            free.remove(same)
+    near = [[j for j in free if _fuzzy(query[j], word)] for word in open_]
+    owner: dict[int, int] = {}
+
+    def place(k: int, tried: set[int]) -> bool:
+        for j in near[k]:
+            if j not in tried:
+                tried.add(j)
+                if j not in owner or place(owner[j], tried):
+                    owner[j] = k
+                    return True
+        return False
+
+    fuzzy = sum(place(k, set()) for k in range(len(open_)))
+    return len(target) - len(open_) + fuzzy, fuzzy > 0
+
+
+def _named(q: list[str], p: list[str]) -> tuple[float, str]:
+    if not q or not p:
+        return 0.0, ""
+    if q == p:
+        return 1.0, "exact_phrase"
+    if any(q[j : j + len(p)] == p for j in range(len(q) - len(p) + 1)):
+        return 0.96, "alias_phrase"
+    found = (0.0, "")
+    if len(p) == 1:
+        found = max([(_winkler(t, p[0]), "fuzzy_token") for t in q if _fuzzy(t, p[0])], default=found, key=lambda f: f[0])
+    hits, fuzzy = _matched(q, p)
+    if hits / len(p) > found[0]:
+        found = (hits / len(p), "fuzzy_token" if fuzzy else "token_coverage")
+    if found[0] < 0.84 and len(q) >= 2 and len(p) >= 3 and _matched(q, [p[0], p[-1]])[0] == 2:
+        found = (0.84, "token_coverage")
+    return found
+
+
+def _alias(query: str, phrases: list[str], stop: frozenset[str] = frozenset()) -> tuple[float, str]:
+    """How well a query names something: best over its phrase (the first) and aliases; the first of equally good ones counts."""
     import regex
 
-    terms = lambda s: [t for t in regex.findall(r"[\p{L}\p{Nd}]+", s.lower()) if len(t) >= 2]
-    q = terms(query)
-    best = (0.0, "")
+    terms = lambda s: [t for t in regex.findall(r"[\p{L}\p{Nd}]+", s.lower()) if len(t) >= 2 and t not in stop]
+    q, best = terms(query), (0.0, "")
     for i, phrase in enumerate(phrases):
-        p = terms(phrase)
-        if not p or not q:
-            continue
-        if " ".join(p) == " ".join(q):
-            found = (1.0, "alias_phrase" if i else "phrase")
-        elif any(q[j : j + len(p)] == p for j in range(len(q))):
-            found = (0.96, "term_sequence")
-        elif len(p) == 1 and (s := max(_winkler(p[0], t) for t in q)) >= 0.88:
-            found = (s, "fuzzy_term")
-        else:
-            near = [[j for j, t in enumerate(q) if t == x or _winkler(x, t) >= 0.88] for x in p]
-            match: dict[int, int] = {}
-
-            def place(k, tried):
-                for j in near[k]:
-                    if j not in tried:
-                        tried.add(j)
-                        if j not in match or place(match[j], tried):
-                            match[j] = k
-                            return True
-                return False
-
-            covered = sum(place(k, set()) for k in range(len(p)))
-            share = covered / len(p)
-            ends = bool(near[0]) and bool(near[-1])
-            found = (max(share, 0.84) if ends and len(p) > 1 and share < 1 and covered >= 2 else 0.9 * share, "boundary_name" if ends and covered >= 2 else "token_coverage") if covered else (0.0, "")
-        best = max(best, found, key=lambda f: f[0])
+        found = _named(q, terms(phrase or ""))
+        if found[0] > best[0]:
+            best = (found[0], "alias_phrase") if i and found[1] == "exact_phrase" else found
     return best
 
 
-def alias_score(query: Column | str, phrases: Column | str) -> Column:
-    """Score and reason of the best of a phrase and its aliases (an array, the phrase first) for each query."""
+def alias_score(query: Column | str, phrases: Column | str, stop: Sequence[str] = ()) -> Column:
+    """Score and reason of the best of a phrase and its aliases (an array, the phrase first) for each query; equal pairs are scored once."""
+    ignored = frozenset(stop)
 
     @pandas_udf("struct<score:double,reason:string>")
     def run(query: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_alias(q or "", list(p) if p is not None else []) for q, p in zip(query, phrases)], columns=["score", "reason"])
+        known: dict[tuple, tuple[float, str]] = {}
+        keys = [(q or "", tuple(p) if p is not None else ()) for q, p in zip(query, phrases)]
+        for k in dict.fromkeys(keys):
+            known[k] = _alias(k[0], list(k[1]), ignored)
+        return pd.DataFrame([known[k] for k in keys], columns=["score", "reason"])
 
     return run(_col(query), _col(phrases))
 
@@ -281,40 +313,76 @@ def structural_hash(text: Column | str) -> Column:
     return simple_hash(F.array_join(F.transform(lines, tag), "|"))
 
 
-def _simhash(text: str, n: int, bits: int) -> int:
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """1 for the code points of letters, numbers and marks, 2 for white space, else 0."""
     import unicodedata
 
-    out, space = [], False
-    for c in text.lower():
-        if unicodedata.category(c)[0] in "LNM":
-            out.append(c)
-            space = False
-        elif c.isspace() and not space:
-            out.append(" ")
-            space = True
-    clean = "".join(out).strip()
-    if not clean:
-        if not text.strip():
-            return 0
-        grams = ["\0raw:" + text.lower()]
-    elif len(clean) < n:
-        grams = [clean]
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] in "LNM":
+            out[c] = 1
+        elif chr(c).isspace():
+            out[c] = 2
+    return out
+
+
+_OFFSET, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+
+
+def _gram_hashes(cp: np.ndarray, n: int) -> np.ndarray:
+    """FNV-1a-64 of the UTF-8 bytes of the n-grams that start at each code point."""
+    m = len(cp) - n + 1
+    h = np.full(m, _OFFSET)
+    for k in range(n):
+        c = cp[k : k + m].astype(np.uint64)
+        size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint64)[size]
+        for j in range(int(size.max(initial=1))):
+            some = size > j
+            shift = (6 * (size - 1 - j).clip(0)).astype(np.uint64)
+            byte = ((c >> shift) & np.uint64(0x3F)) | np.uint64(0x80) if j else np.where(size == 1, c, lead | (c >> shift))
+            h = np.where(some, (h ^ byte) * _PRIME, h)
+    return h
+
+
+def _simhash(text: str, n: int, bits: int) -> int:
+    low = text.lower()
+    cp = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[cp]
+    # white space after white space goes, also where only characters that count for nothing lie between; so does that at the ends
+    kept, kind = cp[kind > 0], kind[kind > 0]
+    blank = kind == 2
+    kept = np.where(blank, 32, kept)
+    one = ~blank
+    one[1:] |= blank[1:] & ~blank[:-1]
+    one[:1] |= blank[:1]
+    kept = kept[one]
+    kept = kept[int(len(kept) > 0 and kept[0] == 32) : len(kept) - int(len(kept) > 1 and kept[-1] == 32)]
+    if len(kept) >= n:
+        h = _gram_hashes(kept, n)[(kept[: len(kept) - n + 1] != 32) & (kept[n - 1 :] != 32)]
     else:
-        grams = [clean[i : i + n] for i in range(len(clean) - n + 1) if clean[i] != " " and clean[i + n - 1] != " "] or [clean]
-    distinct, count = np.unique(np.array(grams, dtype=object).astype(str), return_counts=True) if len(grams) > 1 else (grams, np.ones(1, int))
-    h = fnv1a([g.encode() for g in distinct])
-    signs = ((h[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
-    total = (signs * count[:, None]).sum(0)
-    return int(sum(1 << int(i) for i in np.flatnonzero(total > 0)))
+        h = np.zeros(0, np.uint64)
+    if not len(h):
+        if not len(kept) and not text.strip():
+            return 0
+        h = fnv1a([("\0raw:" + low if not len(kept) else kept.tobytes().decode("utf-32-le", "surrogatepass")).encode("utf-8", "surrogatepass")])
+    h, count = np.unique(h, return_counts=True)
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):  # so that a long text takes no more than 64 columns of a part
+        on = np.unpackbits(h[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        total += count[i : i + (1 << 16)] @ (2 * on - 1)
+    return int(sum(1 << int(i) for i in np.flatnonzero(total[:bits] > 0)))
 
 
 def simhash(text: Column | str, n: int = 3, bits: int = 64) -> Column:
-    """SimHash over character n-grams as 16 hex digits."""
+    """SimHash over character n-grams as 16 hex digits; equal texts of a batch are hashed once."""
     n, bits = max(1, n), min(64, max(1, bits))
 
     @pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else f"{_simhash(t, n, bits):016x}")
+        known = {t: f"{_simhash(t, n, bits):016x}" for t in dict.fromkeys(s) if t is not None}
+        return s.map(lambda t: None if t is None else known[t])
 
     return run(_col(text))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_tokens
-from ..functions.vector import dot, norm
+from ..functions.vector import norm
 
 
 def top_keywords(docs: DataFrame, k: int = 10, min_length: int = 4, min_count: int = 1, by: list[str] | None = None, include=None, **options) -> DataFrame:
@@ -50,18 +52,56 @@ def dimensions(vectors: DataFrame, by: list[str], vector: str = "embedding", wei
     return vectors.select(*by, (weight if weight is not None else F.lit(1.0)).alias("w"), F.posexplode(vector).alias("dim", "x"))
 
 
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Single-precision values as integers in the same order."""
+    u = (x.astype(np.float32) + np.float32(0)).view(np.uint32)
+    return np.where(u >> 31, ~u, u | np.uint32(1 << 31))
+
+
+def _value(u: int) -> float:
+    bits = np.array([u & 0x7FFFFFFF if u >> 31 else ~u & 0xFFFFFFFF], np.uint32)
+    return float(bits.view(np.float32)[0])
+
+
 def upper_medians(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """(dim, median): the upper middle value of each dimension; vectors of different lengths are an error.
 
-    By rank within a dimension: the sort spills, where a list of all values would have to fit into one row.
+    By exact selection in two passes that count: of the upper 16 bits of each value, then of the lower 16 among those in the
+    middle. Neither pass sorts, and each result is at most 65,536 counts for each dimension.
     """
-    size = vectors.agg(F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")).first()
+    spark = vectors.sparkSession
+    size = vectors.agg(F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi"), F.count_if(F.size(vector) >= 0).alias("n")).first()
     if size.lo != size.hi:
         raise ValueError(f"vectors have {size.lo} to {size.hi} dimensions")
-    d = dimensions(vectors, [], vector).select("dim", F.col("x").cast("float").alias("x"))
-    n = d.groupBy("dim").agg((F.count("*") / 2).cast("long").alias("at"))
-    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("x")) - 1)
-    return ranked.join(F.broadcast(n), "dim").where("r = at").select("dim", F.col("x").alias("median"))  # a row for each dimension
+    if not size.n or not size.hi or size.hi < 0:
+        return spark.createDataFrame([], "dim int, median float")
+
+    def counts(middle: np.ndarray | None):
+        def run(batches):
+            total: dict[tuple[int, int], int] = {}
+            for pdf in batches:
+                u = _sortable(np.array(pdf.v.tolist(), np.float32).reshape(len(pdf), -1))
+                for d in range(u.shape[1]):
+                    part = u[:, d] >> 16 if middle is None else u[:, d][u[:, d] >> 16 == middle[d]] & 0xFFFF
+                    for key, n in zip(*(x.tolist() for x in np.unique(part, return_counts=True))):
+                        total[d, key] = total.get((d, key), 0) + n
+            if total:
+                yield pd.DataFrame({"dim": [d for d, _ in total], "part": [k for _, k in total], "n": list(total.values())})
+
+        parts = vectors.where(F.size(vector) >= 0).select(F.col(vector).alias("v")).mapInPandas(run, "dim int, part long, n long")
+        return parts.groupBy("dim", "part").agg(F.sum("n").alias("n"))
+
+    def at(found: DataFrame, place: dict[int, int]) -> dict[int, tuple[int, int]]:
+        """For each dimension the part that holds the value at its place, and the place within the part."""
+        below = F.sum("n").over(Window.partitionBy("dim").orderBy("part"))
+        wanted = spark.createDataFrame(list(place.items()), "dim int, place long")
+        rows = found.withColumn("upto", below).join(F.broadcast(wanted), "dim").where("upto > place and upto - n <= place")  # a row for each dimension
+        return {r.dim: (r.part, r.place - (r.upto - r.n)) for r in rows.collect()}
+
+    upper = at(counts(None), {d: size.n // 2 for d in range(size.hi)})
+    middle = np.array([upper[d][0] for d in range(size.hi)], np.uint32)
+    lower = at(counts(middle), {d: upper[d][1] for d in range(size.hi)})
+    return spark.createDataFrame([(d, _value((upper[d][0] << 16) | lower[d][0])) for d in range(size.hi)], "dim int, median float")
 
 
 def pooled(vectors: DataFrame, by: list[str], vector: str = "embedding", weight: str | None = None, dim: int | None = None, normalize: bool = True) -> DataFrame:
@@ -109,19 +149,39 @@ def average_similarity(vectors: DataFrame, by: list[str], vector: str = "embeddi
 
 
 def group_max_pool(queries: DataFrame, vectors: DataFrame, k: int, group: str = "label", query_id: str = "query_id") -> DataFrame:
-    """The k groups with the highest dot product of any member, for each query; ties by group."""
-    both = queries.select(query_id, F.col("v").alias("q")).join(vectors, how="cross")
-    best = both.groupBy(query_id, group).agg(F.max(dot(F.col("q"), F.col("embedding"))).alias("score"))
+    """The k groups with the highest dot product of any member, for each query; ties by group. Only a block's best of each group is shuffled."""
+    from .vectors import DIGITS, in_blocks, matrix
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        names, of = np.unique(v[group].to_numpy(), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[order], np.arange(len(names)))
+        for dim, some in q.groupby(q.q.map(lambda x: len(x) if x is not None else 0)):
+            s = np.round(matrix(some.q.tolist(), dim) @ matrix(v.embedding.tolist(), dim).T, DIGITS) + 0.0
+            best = np.maximum.reduceat(s[:, order], first, axis=1)
+            parts.append(pd.DataFrame({query_id: np.repeat(some[query_id].to_numpy(), len(names)), group: np.tile(names, len(some)), "score": best.ravel()}))
+        return pd.concat(parts)
+
+    kinds = dict(queries.dtypes) | dict(vectors.dtypes)
+    rows = vectors.where(F.col(group).isNotNull()).select(group, "embedding")
+    best = in_blocks(queries.select(query_id, F.col("v").alias("q")), rows, run, f"{query_id} {kinds[query_id]}, {group} {kinds[group]}, score double")
+    best = best.groupBy(query_id, group).agg(F.max("score").alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), group)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("chunk_index", F.lit(-1))
 
 
 def min_max(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Values scaled to 0..1 within their group; 0.5 for fewer than two values and for a spread under 1e-10."""
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    lo, hi, n = F.min(value).over(w), F.max(value).over(w), F.count(value).over(w)
-    flat = (n < 2) | (hi - lo < 1e-10)
-    return rows.withColumn("scaled", F.when(flat, 0.5).otherwise((F.col(value) - lo) / F.when(flat, 1.0).otherwise(hi - lo)))
+    spread = [F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n")]
+    if by:
+        w = Window.partitionBy(*by)
+        rows = rows.select("*", *(c.over(w).alias(n) for c, n in zip((F.min(value), F.max(value), F.count(value)), ("__lo", "__hi", "__n"))))
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(*spread)))  # one row
+    lo, hi = F.col("__lo"), F.col("__hi")
+    flat = (F.col("__n") < 2) | (hi - lo < 1e-10)
+    return rows.withColumn("scaled", F.when(flat, 0.5).otherwise((F.col(value) - lo) / F.when(flat, 1.0).otherwise(hi - lo))).drop("__lo", "__hi", "__n")
 
 
 LEAST_SAMPLES = 20

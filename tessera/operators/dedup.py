@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, normalize
 from ..sources.shared import shared_folder
 
+#: Vectors of a block in exact pairwise comparisons.
+BLOCK_ROWS = 4096
+
 
 def duplicate_groups(rows: DataFrame, hash_column: Column, order: str = "doc_id") -> DataFrame:
     """Groups of more than one row with equal hashes: (hash, size, members in order, first), largest first."""
@@ -42,17 +48,21 @@ def merged(rows: DataFrame, group: str, better: list[Column], metadata: str) ->
 def simhash_pairs(hashes: DataFrame, threshold: int = 3) -> DataFrame:
     """(a, b, distance), a < b, of distinct 16-digit hashes within the threshold.
 
-    Exact: of threshold + 1 bands of bits, two such hashes have at least one in common, so bands are joined, not all pairs.
+    Exact: of threshold + 3 blocks of bits, two such hashes share at least three, so they are joined on every choice of three
+    blocks, 32 bits or so at a threshold of 3, and not as all pairs. Beyond a threshold of 6 choices are too many, and single blocks are joined.
     """
-    bands = threshold + 1
-    value = F.conv("hash", 16, -10).cast("bigint")
-    one = hashes.select("hash").distinct().withColumn("v", value)
-    if bands > 64:
+    one = hashes.select("hash").distinct().withColumn("v", F.conv("hash", 16, -10).cast("bigint"))
+    blocks, taken = (threshold + 3, 3) if threshold <= 6 else (threshold + 1, 1)
+    if blocks > 64:
         a, b = one.select(F.col("hash").alias("a"), F.col("v").alias("va")), one.select(F.col("hash").alias("b"), F.col("v").alias("vb"))
         pairs = a.join(b, F.col("a") < F.col("b"))
     else:
-        edges = [64 * i // bands for i in range(bands + 1)]
-        part = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("v", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        masks = []
+        for some in combinations(range(blocks), taken):
+            m = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in some)
+            masks.append(m - (1 << 64) if m >> 63 else m)
+        part = F.array(*(F.struct(F.lit(i).alias("band"), F.col("v").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
         banded = one.select("hash", "v", F.explode(part).alias("p")).select("hash", "v", "p.band", "p.bits")
         a = banded.select("band", "bits", F.col("hash").alias("a"), F.col("v").alias("va"))
         b = banded.select("band", "bits", F.col("hash").alias("b"), F.col("v").alias("vb"))
@@ -69,8 +79,8 @@ def simhash_groups(hashes: DataFrame, threshold: int = 3) -> DataFrame:
     """
     spark = hashes.sparkSession
     shared_folder(spark)
-    pairs = simhash_pairs(hashes, threshold).select("a", "b").checkpoint()
-    nodes = hashes.select("hash").distinct()
+    nodes = hashes.select("hash").distinct().checkpoint()  # read by every pass; texts are hashed once
+    pairs = simhash_pairs(nodes, threshold).select("a", "b").checkpoint()
     taken = None
     open_ = pairs
     while open_.limit(1).count():
@@ -89,14 +99,37 @@ def simhash_groups(hashes: DataFrame, threshold: int = 3) -> DataFrame:
 def cosine_pairs(vectors: DataFrame, threshold: float, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(a, b, similarity), a < b, of at least the threshold; exact, so every pair is compared; empty vectors are left out.
 
-    Blocks of ids are paired, so that the comparison spreads over blocks ** 2 / 2 tasks and no side is broadcast.
+    Blocks of about BLOCK_ROWS vectors, as many as the counted table needs, are paired: a pair of blocks is one task's product of
+    two matrices, no side is broadcast, and only similar pairs come out of it. Vectors of different lengths have a similarity of 0.
     """
-    n = 16
-    v = vectors.where(F.size(vector) > 0).select(F.col(id_column).alias("id"), normalize(F.col(vector)).alias("v")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = v.select(F.col("id").alias("a"), F.col("v").alias("va"), "blk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
-    right = v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("blk").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"))
-    both = left.join(right, ["blk", "o"]).where("a < b")
-    return both.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    rows = vectors.where(F.size(vector) > 0).select(F.col(id_column).alias("id"), F.col(vector).alias("v"))
+    n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    rows = rows.withColumn("o", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    pair = lambda o: F.struct(F.least(F.col("o"), o).alias("x"), F.greatest(F.col("o"), o).alias("y"))
+    dealt = rows.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), pair))).select("id", "v", "o", "p.x", "p.y")
+    kind = dict(rows.dtypes)["id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": pdf.id[:0], "b": pdf.id[:0], "similarity": np.zeros(0)})]
+        size = pdf.v.map(len).to_numpy()
+        for dim in np.unique(size):
+            part = pdf[size == dim]
+            left, right = (part[part.o == part.x], part[part.o == part.y])
+            u, w = (m / np.where((k := np.sqrt((m * m).sum(1))) > 0, k, 1)[:, None] for m in (np.array(p.v.tolist(), float).reshape(len(p), dim) for p in (left, right)))
+            s = u @ w.T
+            i, j = np.nonzero(s >= threshold)
+            a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
+            # within one block each pair turns up both ways
+            once = a < b if pdf.x.iloc[0] == pdf.y.iloc[0] else a != b
+            a, b, i, j = a[once], b[once], i[once], j[once]
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[i, j]}))
+        if threshold <= 0 and len(np.unique(size)) > 1:
+            ids, o = pdf.id.to_numpy(), pdf.o.to_numpy()
+            i, j = np.nonzero((size[:, None] != size[None, :]) & (ids[:, None] < ids[None, :]) & ((o[:, None] != o[None, :]) | (pdf.x.iloc[0] == pdf.y.iloc[0])))
+            out.append(pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": np.zeros(len(i))}))
+        return pd.concat(out)
+
+    return dealt.groupBy("x", "y").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

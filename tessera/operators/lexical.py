@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze
+from ..sources.shared import shared_folder
 
 K1, B, RRF_K = 1.2, 0.75, 60.0
+#: Stands for a token that every document has; no text yields it.
+_EVERY = "\0"
 
 
 def tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -37,17 +40,20 @@ def document_frequency(posting: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, query_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, score) of each pair that shares a term.
 
-    Only postings of the queries' terms are shuffled: the terms are joined to the documents' tokens, and
-    document lengths ride on the posting. A k1 of 0 or less and a b of 0 or less or over 1 mean the defaults.
+    Texts are tokenised once: what is kept of them are the tokens that some query has, with their counts, and a row for each
+    document with its length. A k1 of 0 or less and a b of 0 or less or over 1 mean the defaults.
     """
     k1 = k1 if k1 > 0 else K1
     b = b if 0 < b <= 1 else B
+    shared_folder(docs.sparkSession)
     q = postings(queries, query_id).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    wanted = q.select("term").distinct()
-    terms = docs.select(F.col(doc_id).alias("doc_id"), analyze("text").alias("tokens")).withColumn("len", F.size("tokens"))
-    p = terms.select("doc_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    wanted = q.select("term").union(docs.sparkSession.createDataFrame([(_EVERY,)], "term string")).distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(analyze("text"), F.array().cast("array<string>")).alias("tokens"))
+    texts = texts.select("doc_id", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(_EVERY))).alias("term"))
+    kept = texts.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf")).checkpoint()
+    p = kept.where(F.col("term") != _EVERY)
     df = p.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, doc_id)
+    stats = kept.where(F.col("term") == _EVERY).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("len").cast("double") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rate = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = p.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row
@@ -98,7 +104,7 @@ def rrf_by_index(lists: DataFrame, k: float = RRF_K) -> DataFrame:
     """Fusion by index: every occurrence in a list counts; also the highest sum."""
     k = k if k > 0 else RRF_K
     fused = lists.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
-    return fused.withColumn("max_score", F.max("score").over(Window.partitionBy(F.lit(1))))
+    return fused.crossJoin(F.broadcast(fused.agg(F.max("score").alias("max_score"))))  # one row
 
 
 def mapped_ids(ranked: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, finite, hamming, quantize
+from ..functions.vector import dot, finite, quantize
 from .aggregates import upper_medians
 
-#: Bytes of queries that are broadcast; more are paired with the vectors by blocks.
-BROADCAST_ROWS = 20_000
+#: Bytes of queries that are broadcast; more are paired with the rows by blocks.
+BROADCAST_BYTES = 64 << 20
+#: Rows of a block of such a pairing, about, on either side.
+BLOCK_ROWS = 20_000
+#: Pairs that a worker compares at once.
+AT_ONCE = 1 << 22
+#: Scores are compared after rounding to so many digits, since the order of a sum's terms isn't fixed.
+DIGITS = 9
 
 
 def indexed(rows: DataFrame, dim: int, group: str = "grp", index: str = "chunk_index", vector: str = "v") -> tuple[DataFrame, DataFrame]:
@@ -24,13 +35,89 @@ def indexed(rows: DataFrame, dim: int, group: str = "grp", index: str = "chunk_i
     return marked.where("__good and __n = 1").drop("__good", "__n"), report
 
 
+def _bytes(c: str, kind: str) -> Column:
+    """About what a value takes in memory."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if kind.startswith("array"):
+        each = F.lit(8) if "string" not in kind else F.lit(32)
+        return F.greatest(F.size(c), F.lit(0)) * each + 16
+    return F.lit(16)
+
+
+def measured(rows: DataFrame) -> tuple[int, int]:
+    """(rows, bytes), counted in one pass."""
+    size = sum((_bytes(c, t) for c, t in rows.dtypes), F.lit(0))
+    r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()
+    return r.n, r.b
+
+
 def paired(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every query with every vector. A few queries are broadcast, after they were counted; more meet the vectors in blocks."""
-    if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Every query with every vector. Queries of BROADCAST_BYTES at most are broadcast, after they were measured; more meet the vectors in
+    as many blocks as keep a block's queries below that."""
+    _, size = measured(queries)
+    if size <= BROADCAST_BYTES:
         return vectors.crossJoin(F.broadcast(queries))
-    n = 32
-    q = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return vectors.withColumn("__b", F.pmod(F.xxhash64(*vectors.columns[:2]), F.lit(n)).cast("int")).join(q, "__b").drop("__b")
+    m, n = math.ceil(size / BROADCAST_BYTES), 32
+    q = queries.withColumn("__q", F.pmod(F.xxhash64(queries.columns[0]), F.lit(m)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    v = vectors.withColumn("__b", F.pmod(F.xxhash64(*vectors.columns[:2]), F.lit(n)).cast("int")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return v.join(q, ["__b", "__q"]).drop("__b", "__q")
+
+
+def matrix(values: list, dim: int) -> np.ndarray:
+    """Rows of one length as a matrix; zeros for those that are missing or of another length."""
+    out = np.zeros((len(values), dim))
+    good = [i for i, v in enumerate(values) if v is not None and len(v) == dim]
+    if good:
+        out[good] = np.array([values[i] for i in good], float)
+    return out
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn(queries, rows) of frames of both sides, such that each query meets each row in exactly one call.
+
+    Queries of BROADCAST_BYTES at most are sent to all workers once, and rows stay where they are. More are dealt into blocks,
+    and so are the rows; each pair of blocks is one call, of a bounded size on both sides.
+    """
+
+    def parts(a: pd.DataFrame, b: pd.DataFrame):
+        step = max(1, AT_ONCE // max(1, len(b)))
+        for i in range(0, len(a) if len(b) else 0, step):
+            yield fn(a.iloc[i : i + step], b)
+
+    n, size = measured(queries)
+    if size <= BROADCAST_BYTES:
+        shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+
+        def run(batches):
+            for pdf in batches:
+                yield from parts(shared.value, pdf)
+
+        return rows.mapInPandas(run, schema)
+    m = math.ceil(max(size / BROADCAST_BYTES, n / BLOCK_ROWS))
+    k = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    q = queries.withColumn("__q", F.pmod(F.xxhash64(queries.columns[0]), F.lit(m)).cast("int")).withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    v = rows.withColumn("__v", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(k)).cast("int")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        made = list(parts(*(x.drop(columns=["__q", "__v"]) for x in (a, b))))
+        return pd.concat(made) if made else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    return q.groupBy("__q", "__v").cogroup(v.groupBy("__q", "__v")).applyInPandas(both, schema)
+
+
+def best_places(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of every score that can be among its row's k highest: those not below the k-th, so that ties stay open."""
+    n = scores.shape[1]
+    if k >= n:
+        return np.nonzero(np.ones(scores.shape, bool))
+    least = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
+    return np.nonzero(scores >= least)
+
+
+def _types(df: DataFrame, names: list[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in names)
 
 
 def _best(scored: DataFrame, k: int, order: list[Column], query_id: str) -> DataFrame:
@@ -38,12 +125,27 @@ def _best(scored: DataFrame, k: int, order: list[Column], query_id: str) -> Data
 
 
 def exact_search(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.0, query_id: str = "query_id", keys: list[str] | None = None) -> DataFrame:
-    """The k vectors with the highest dot product for each query (query_id, q); 10 for k of 0 or less; `least` counts only if positive."""
+    """The k vectors with the highest dot product for each query (query_id, q); 10 for k of 0 or less; `least` counts only if positive.
+
+    Products of matrices, block by block; only k candidates of a block are shuffled for each query. Vectors of another length than
+    the query score 0.
+    """
     keys = keys or ["grp", "chunk_index"]
     k = k if k > 0 else 10
-    scored = paired(queries.select(query_id, "q"), vectors.select(*keys, "v")).select(query_id, *keys, dot(F.col("q"), F.col("v")).alias("score"))
-    if least > 0:
-        scored = scored.where(F.col("score") >= least)
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for dim, some in q.groupby(q.q.map(lambda x: len(x) if x is not None else 0)):
+            s = np.round(matrix(some.q.tolist(), dim) @ matrix(v.v.tolist(), dim).T, DIGITS) + 0.0
+            i, j = best_places(s, k)
+            if least > 0:
+                enough = s[i, j] >= least
+                i, j = i[enough], j[enough]
+            parts.append(pd.DataFrame({query_id: some[query_id].to_numpy()[i], **{c: v[c].to_numpy()[j] for c in keys}, "score": s[i, j]}))
+        return pd.concat(parts)
+
+    q, rows = queries.select(query_id, "q"), vectors.select(*keys, "v")
+    scored = in_blocks(q, rows, run, f"{_types(q, [query_id])}, {_types(rows, keys)}, score double")
     return _best(scored, k, [F.desc("score"), *keys], query_id)
 
 
@@ -73,13 +175,34 @@ def binary_codes(vectors: DataFrame, medians: DataFrame, vector: str = "v") -> D
 def hamming_candidates(queries: DataFrame, codes: DataFrame, limit: int = 100, query_id: str = "query_id", keys: list[str] | None = None) -> DataFrame:
     """The `limit` vectors with the nearest codes for each query (query_id, code); none for 0 or less."""
     keys = keys or ["grp", "chunk_index"]
-    both = paired(queries.select(query_id, F.col("code").alias("q_code")), codes.select(*keys, "code"))
-    scored = both.select(query_id, *keys, hamming(F.col("q_code"), F.col("code")).alias("distance"))
-    return _best(scored, max(limit, 0), [F.asc("distance"), *keys], query_id)
-
 
-def two_stage(queries: DataFrame, vectors: DataFrame, k: int = 5, candidates: int = 100, query_id: str = "query_id", keys: list[str] | None = None) -> DataFrame:
-    """Candidates by binary codes, re-ranked exactly. Approximate: `candidates` trades recall for work."""
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for words, some in q.groupby(q.code.map(len)):
+            same = v.code.map(len).to_numpy() == words
+            codes = np.zeros((len(v), words), np.int64)
+            codes[same] = np.array(v.code[same].tolist(), np.int64).reshape(-1, words)
+            a = np.array(some.code.tolist(), np.int64).reshape(-1, words)
+            d = sum((np.bitwise_count((a[:, w, None] ^ codes[None, :, w]).view(np.uint64)).astype(np.int32) for w in range(words)), np.zeros((len(a), len(v)), np.int32))
+            d[:, ~same] = 0
+            i, j = best_places(-d, limit)
+            parts.append(pd.DataFrame({query_id: some[query_id].to_numpy()[i], **{c: v[c].to_numpy()[j] for c in keys}, "distance": d[i, j]}))
+        return pd.concat(parts)
+
+    q, rows = queries.select(query_id, "code"), codes.select(*keys, "code")
+    if limit <= 0:
+        return q.join(rows.drop("code"), F.lit(False)).select(query_id, *keys, F.lit(0).alias("distance"), F.lit(0).alias("rank"))
+    scored = in_blocks(q, rows, run, f"{_types(q, [query_id])}, {_types(rows, keys)}, distance int")
+    return _best(scored, limit, [F.asc("distance"), *keys], query_id)
+
+
+def two_stage(queries: DataFrame, vectors: DataFrame, k: int = 5, candidates: int | None = None, query_id: str = "query_id", keys: list[str] | None = None) -> DataFrame:
+    """Candidates by binary codes, re-ranked exactly. Approximate: `candidates` trades recall for work.
+
+    Unless given, they are a quarter of the vectors, 100 at least: a fixed number finds less and less as the table grows.
+    """
+    if candidates is None:
+        candidates = max(100, -(-vectors.count() // 4))
     medians = upper_medians(vectors, "v")
     codes = binary_codes(vectors, medians)
     q = binary_codes(queries.withColumnRenamed("q", "v"), medians)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import aggregates, dedup, evaluation, lexical, scoring
+from ..sources.shared import shared_folder
 from .tables import bm25_run, judgments, rounded, table
 
 QUERIES: dict = {}
@@ -27,6 +28,8 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+#: FNV-1a-64 of a string's bytes.
+FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(strlen({0})), lambda i: ('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2])::uhugeint)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616)"
 STOP, KSTOP, JSTOP = _list(X.SCORER_STOP), _list(X.KEYWORD_STOP), _list(X.JACCARD_STOP)
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 OVERLAP_TOK = f"list_filter({TOK}, lambda t: strlen(t) > 2 and not list_contains({STOP}, t))"
@@ -246,14 +249,25 @@ def canonical_docs(spark, d):
     return dedup.canonical(rows, "hash", [F.desc("q"), F.asc("doc_id")]).select("hash", "doc_id")
 
 
-@query()
+SIMHASH = rf"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}\s]', '', 'g'), '\s+', ' ', 'g')) AS s FROM documents),
+l AS (SELECT doc_id, string_split(s, '') AS l FROM c WHERE length(s) >= 3),
+g AS (SELECT doc_id, unnest(list_filter(list_transform(range(1, len(l) - 1), lambda i: CASE WHEN l[i] <> ' ' AND l[i + 2] <> ' ' THEN l[i] || l[i + 1] || l[i + 2] END), lambda x: x IS NOT NULL)) AS g FROM l),
+a AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2),
+whole AS (SELECT * FROM a UNION ALL SELECT doc_id, CASE WHEN s = '' THEN chr(0) || 'raw:' || lower(text) ELSE s END, 1 FROM c WHERE doc_id NOT IN (SELECT doc_id FROM a) AND trim(text, e' \t\n\r') <> ''),
+h AS (SELECT g, {FNV.format('g')}::ubigint AS h FROM (SELECT DISTINCT g FROM whole)),
+t AS (SELECT doc_id, {', '.join(f'sum(CASE WHEN (h >> {i}) & 1 = 1 THEN n ELSE -n END) AS b{i}' for i in range(64))} FROM whole JOIN h USING (g) GROUP BY 1)
+SELECT documents.doc_id, lpad(lower(to_hex(coalesce({' + '.join(f'CASE WHEN b{i} > 0 THEN {1 << i}::uhugeint ELSE 0 END' for i in range(64))}, 0)::ubigint)), 16, '0') AS hash FROM documents LEFT JOIN t USING (doc_id)"""
+
+
+@query(SIMHASH)
 def simhash_values(spark, d):
     return _docs(spark, d).select("doc_id", X.simhash("text").alias("hash"))
 
 
 @query()
 def simhash_neardup(spark, d):
-    hashes = simhash_values(spark, d)
+    shared_folder(spark)
+    hashes = simhash_values(spark, d).checkpoint()  # 16 characters a document, read twice
     leaders = dedup.simhash_groups(hashes.select("hash"), 3)
     return hashes.join(leaders, "hash").select("doc_id", "hash", "leader")
 
@@ -296,14 +310,15 @@ def jaccard_pairs(spark, d):
 
 @query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark),
 c AS (SELECT w, regexp_replace(w, 's$', '') AS s FROM w)
-SELECT a.w AS a, b.w AS b FROM c a JOIN c b ON a.w < b.w WHERE a.s = b.s OR (least(length(a.s), length(b.s)) >= 7 AND levenshtein(a.s, b.s) <= CASE WHEN least(length(a.s), length(b.s)) >= 10 THEN 2 ELSE 1 END)""")
+SELECT a.w AS a, b.w AS b FROM c a, c b WHERE length(a.s) >= 7 AND length(b.s) >= 7 AND levenshtein(a.s, b.s) <= CASE WHEN length(a.s) >= 10 THEN 2 ELSE 1 END""")
 def near_term_levenshtein(spark, d):
+    """Every term with every term near it, itself among them; the term's length sets the distance, so that the rule isn't symmetric."""
     w = table(spark, d, "benchmark").select(F.explode(X.analyze("text")).alias("w")).distinct()
     # a near term's length differs by 3 at most, so terms meet by length
     size = F.char_length("w")
     a = w.select(F.col("w").alias("a"), F.explode(F.sequence(size - 3, size + 3)).alias("n"))
     b = w.select(F.col("w").alias("b"), size.alias("n"))
-    return a.join(b, "n").where((F.col("a") < F.col("b")) & X.near_term(F.col("a"), F.col("b"))).select("a", "b")
+    return a.join(b, "n").where(X.near_term(F.col("a"), F.col("b"))).select("a", "b")
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents")
@@ -370,3 +385,62 @@ def hard_cut_chunks(spark, d):
     rows = _docs(spark, d).where(F.char_length("text") > 0)
     parts = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 500).cast("int"))).alias("n"))
     return parts.select("doc_id", F.substring("text", 1 + 500 * F.col("n"), F.lit(500)).alias("chunk"), "n")
+
+
+TURNS = "p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"
+
+
+def _turns(spark, d) -> DataFrame:
+    """Each turn of a conversation with the one before."""
+    return table(spark, d, "conversations").withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("prev is not null")
+
+
+@query(f"WITH {TURNS}, t AS (SELECT conv_id, turn, {OVERLAP_TOK} AS a, {OVERLAP_TOK.replace('lower(text)', 'lower(prev)')} AS b FROM p WHERE prev IS NOT NULL) SELECT conv_id, turn, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) / len(a) ELSE 0 END, 6) AS overlap, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_filter(b, lambda x: list_contains(a, x))) / len(b) ELSE 0 END, 6) AS name_overlap FROM t")
+def turn_overlap(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", F.round(X.keyword_overlap("text", "prev"), 6).alias("overlap"), F.round(X.filename_overlap("prev", "text"), 6).alias("name_overlap"))
+
+
+@query(f"WITH {TURNS}, t AS (SELECT conv_id, turn, {JW} AS x, {JW.replace('(text,', '(prev,')} AS y FROM p WHERE prev IS NOT NULL) SELECT conv_id, turn, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0 END, 6) AS jaccard FROM t")
+def turn_jaccard(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", F.round(X.jaccard(X.jaccard_words("text"), X.jaccard_words("prev")), 6).alias("jaccard"))
+
+
+PT = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
+
+
+@query(f"SELECT item_id, array_to_string(list_filter({PT}, lambda t: length(t) >= 2 AND t NOT IN ('the', 'der')), ' ') AS phrase, array_to_string(list_sort(list_distinct(list_filter({PT}, lambda t: length(t) >= 4))), ' ') AS terms FROM benchmark")
+def phrase_and_text_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.phrase_terms("text", ["the", "der"]), " ").alias("phrase"), F.array_join(F.array_sort(X.text_terms("text")), " ").alias("terms"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)), 6) AS similarity FROM nation a, nation b")
+def jaro_winkler_names(spark, d):
+    n = table(spark, d, "nation")
+    return n.select(F.col("n_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("n_name").alias("b")))).select("a", "b", F.round(X.jaro_winkler("a", "b"), 6).alias("similarity"))  # 25 nations
+
+
+@query("SELECT c_custkey, sha256(strlen(c_name) || ':' || c_name || strlen(c_mktsegment) || ':' || c_mktsegment) AS identity FROM customer")
+def framed_identities(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.framed_identity(F.col("c_name"), F.col("c_mktsegment")).alias("identity"))
+
+
+@query("SELECT conv_id, turn, turn % 3 = 2 AS analyzable FROM conversations")
+def analyzable_units(spark, d):
+    """Every first turn as a fenced block, every second one as a table."""
+    head = F.when(F.col("turn") % 3 == 0, "```\n").when(F.col("turn") % 3 == 1, "| a | b |\n| --- | --- |\n").otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", X.is_analyzable(F.concat(head, F.lit("Text: "), "text")).alias("analyzable"))
+
+
+@query(f"WITH {BM25_CTE}, k AS (SELECT 'c' || doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents WHERE source <> 'src1') SELECT query_id, rank, k.id, k.index FROM run JOIN k ON k.id = 'c' || run.doc_id")
+def mapped_ids(spark, d):
+    """Ranked ids as places in an index that lacks one source's documents."""
+    known = _docs(spark, d).where("source <> 'src1'").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("index"))
+    ranked = bm25_run(spark, d).select(F.struct("query_id", F.col("rank").cast("long").alias("rank")).alias("rank"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"))
+    return lexical.mapped_ids(ranked, known)[0].select("rank.query_id", "rank.rank", "id", "index")
+
+
+@query("SELECT count(*) FILTER (id = '') AS n_empty, count(*) FILTER (id <> '' AND id NOT IN (SELECT n_name FROM nation)) AS n_unknown FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS id FROM customer UNION ALL SELECT n_name FROM nation)")
+def mapping_report(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("index"))
+    ids = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("id")).union(n.select("id")).withColumn("rank", F.lit(1))
+    return lexical.mapped_ids(ids, n)[1].select("n_empty", "n_unknown")

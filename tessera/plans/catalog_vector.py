@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..functions import vector as V
 from ..operators import aggregates, cluster, dedup, scoring, search, sequence, vectors
 from ..operators.lexical import top_k
+from ..sources import descriptors
+from .catalog_text import FNV
 from .tables import rounded, table, vector_queries
 from .tables import vectors as vector_table
 
@@ -45,11 +47,11 @@ def exact_vector_topk(spark, d):
     return _ranked(rounded(vectors.exact_search(vector_queries(spark, d), vector_table(spark, d), 10), 5))
 
 
-@query(f"WITH {E_CTE}, s AS ({PAIRS} WHERE b.chunk_index % 3 = 0) SELECT query_id, grp, chunk_index, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5")
+@query(f"WITH {E_CTE}, s AS ({PAIRS} WHERE b.chunk_index IN (SELECT doc_id FROM labels)) SELECT query_id, grp, chunk_index, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5")
 def semi_join_keys(spark, d):
-    """Exact search among requested keys; here those that a list of keys, with repeats, names."""
+    """Exact search among requested keys; here the vectors of labelled documents, each named twice."""
     v = vector_table(spark, d)
-    keys = v.where("chunk_index % 3 = 0").select("grp", "chunk_index")
+    keys = v.join(table(spark, d, "labels").select(F.col("doc_id").alias("chunk_index")), "chunk_index").select("grp", "chunk_index")
     return _ranked(rounded(vectors.search_keys(vector_queries(spark, d), v, keys.union(keys), 5)))
 
 
@@ -76,11 +78,12 @@ def dim_medians(spark, d):
 BITS = f"{MEDIANS}, bits AS (SELECT vec_id, list(CASE WHEN x > median THEN 1 ELSE 0 END ORDER BY dim) AS b FROM u JOIN md USING (dim) GROUP BY 1)"
 
 
-@query(f"WITH {BITS} SELECT vec_id, list_sum(b)::bigint AS n_bits FROM bits")
+@query(f"WITH {BITS} SELECT vec_id, array_to_string(b, '') AS bits FROM bits")
 def binary_codes(spark, d):
     v = vector_table(spark, d)
     codes = vectors.binary_codes(v, aggregates.upper_medians(v, "v"))
-    return codes.select(F.col("chunk_index").alias("vec_id"), F.aggregate("code", F.lit(0), lambda acc, w: acc + F.bit_count(w)).cast("long").alias("n_bits"))
+    bits = F.array_join(F.transform("code", lambda w: F.reverse(F.lpad(F.bin(w), 64, "0"))), "")
+    return codes.select(F.col("chunk_index").alias("vec_id"), bits.alias("bits"))
 
 
 HAM = f"{BITS}, h AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_index, list_sum(list_transform(list_zip(a.b, b.b), lambda p: abs(p[1] - p[2])))::bigint AS distance FROM bits a, bits b)"
@@ -94,20 +97,20 @@ def hamming_topk(spark, d):
     return vectors.hamming_candidates(q, codes, 10).select("query_id", "chunk_index", F.col("distance").cast("long"), F.col("rank").cast("long"))
 
 
-TWO = f"{HAM}, cand AS (SELECT query_id, chunk_index FROM h JOIN embeddings ON vec_id = chunk_index QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, label, chunk_index) <= 100), {E_CTE}, s AS (SELECT query_id, b.grp, chunk_index, round({DOT.format('a.v', 'b.v')}, 9) AS score FROM cand JOIN e a ON a.chunk_index = query_id JOIN e b USING (chunk_index)), two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5)"
+TWO = f"{HAM}, cand AS (SELECT query_id, chunk_index FROM h JOIN embeddings ON vec_id = chunk_index QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, label, chunk_index) <= greatest(100, (SELECT (count(*) + 3) // 4 FROM embeddings))), {E_CTE}, s AS (SELECT query_id, b.grp, chunk_index, round({DOT.format('a.v', 'b.v')}, 9) AS score FROM cand JOIN e a ON a.chunk_index = query_id JOIN e b USING (chunk_index)), two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s QUALIFY rank <= 5)"
 TWO = TWO.replace("SELECT query_id, b.grp, chunk_index, round", "SELECT cand.query_id, b.grp, cand.chunk_index, round").replace("JOIN e a ON a.chunk_index = query_id JOIN e b USING (chunk_index)", "JOIN e a ON a.chunk_index = cand.query_id JOIN e b ON b.chunk_index = cand.chunk_index")
 
 
 @query(f"WITH {TWO} SELECT query_id, grp, chunk_index, round(score, 6) AS score, rank FROM two")
 def two_stage_topk(spark, d):
-    return _ranked(rounded(vectors.two_stage(vector_queries(spark, d), vector_table(spark, d), 5, 100)))
+    return _ranked(rounded(vectors.two_stage(vector_queries(spark, d), vector_table(spark, d), 5)))
 
 
 @query(f"WITH {TWO}, x AS (SELECT query_id, chunk_index FROM ({PAIRS}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) <= 5) SELECT count(DISTINCT x.query_id) AS n_queries, round(count(two.chunk_index) / count(*), 6) AS recall_at_5 FROM x LEFT JOIN two USING (query_id, chunk_index)")
 def ann_recall(spark, d):
     q, v = vector_queries(spark, d), vector_table(spark, d)
     exact = vectors.exact_search(q, v, 5).select("query_id", "chunk_index")
-    two = vectors.two_stage(q, v, 5, 100).select("query_id", "chunk_index", F.lit(1).alias("hit"))
+    two = vectors.two_stage(q, v, 5).select("query_id", "chunk_index", F.lit(1).alias("hit"))
     j = exact.join(two, ["query_id", "chunk_index"], "left")
     return rounded(j.agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") / F.count("*")).alias("recall_at_5")))
 
@@ -135,10 +138,10 @@ def distances_within_label(spark, d):
     return rounded(j.select("a", "b", V.cosine_distance(F.col("va"), F.col("vb")).alias("cosine_distance"), V.euclidean(F.col("va"), F.col("vb")).alias("euclidean")))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_discount * 10, 6) AS clamped, true AS ok FROM lineitem".replace("round(l_discount * 10, 6)", "round(greatest(0, least(1, l_discount * 20)), 6)"))
+@query("SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, l_discount * 20)), 6) AS clamped, round(greatest(0, least(1, (l_tax * 50 - 2 + 1) / 2)), 6) AS unit FROM lineitem")
 def score_transforms(spark, d):
     c = F.col("l_discount") * 20
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(V.clamp01(c), 6).alias("clamped"), (V.unit_interval(c) <= 1).alias("ok"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(V.clamp01(c), 6).alias("clamped"), F.round(V.unit_interval(F.col("l_tax") * 50 - 2), 6).alias("unit"))
 
 
 # sequences: the first differences of neighbours, in the order of vec_id, within each label
@@ -316,13 +319,14 @@ def greedy_clusters(spark, d):
     return cluster.greedy(_emb(spark, d), 0.2)
 
 
-# a codebook without training: the first 16 vectors, part by part
-BOOK = "parts AS (SELECT vec_id, unnest(range(8)) AS sub, unnest([embedding[1 + 8 * s : 8 + 8 * s]::double[] for s in range(8)]) AS v FROM embeddings), book AS (SELECT sub, vec_id AS code, v AS c FROM parts WHERE vec_id < 16)"
+# a codebook without training: the labels' centroids, part by part
+BOOK = f"{POOL}, cen AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code, list(m ORDER BY dim) AS c FROM m GROUP BY 1), parts AS (SELECT vec_id, unnest(range(8)) AS sub, unnest([embedding[1 + 8 * s : 8 + 8 * s]::double[] for s in range(8)]) AS v FROM embeddings), book AS (SELECT unnest(range(8)) AS sub, code, unnest([c[1 + 8 * s : 8 + 8 * s] for s in range(8)]) AS c FROM cen)"
 ENC = f"{BOOK}, en AS (SELECT p.vec_id AS id, p.sub, code FROM parts p JOIN book USING (sub) QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.sub ORDER BY round(list_sum(list_transform(list_zip(p.v, book.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), code) = 1)"
 
 
 def _book(spark, d) -> DataFrame:
-    return cluster.split(_emb(spark, d).where("vec_id < 16"), 8).select("sub", F.col("id").cast("int").alias("code"), F.transform("v", lambda x: x.cast("double")).alias("c"))
+    c = aggregates.centroid(_emb(spark, d), ["label"]).withColumn("code", F.dense_rank().over(Window.orderBy("label")) - 1)  # a row for each label
+    return cluster.split(c, 8, "code", "centroid").select("sub", F.col("id").cast("int").alias("code"), F.col("v").alias("c"))
 
 
 @query(f"WITH {ENC} SELECT id, sub::int AS sub, code::int AS code FROM en")
@@ -331,12 +335,15 @@ def pq_encode_fixed_codebook(spark, d):
 
 
 @query(f"""WITH {ENC}, t AS (SELECT p.vec_id AS query_id, p.sub, code, list_sum(list_transform(list_zip(p.v, book.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM parts p JOIN book USING (sub)),
-x AS (SELECT query_id, id, sqrt(sum(dist)) AS distance FROM en JOIN t USING (sub, code) GROUP BY 1, 2)
-SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM x QUALIFY rank <= 5""")
+x AS (SELECT query_id, id, sqrt(sum(dist)) AS distance FROM en JOIN t USING (sub, code) GROUP BY 1, 2),
+cand AS (SELECT query_id, id FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) <= greatest(50, (SELECT (count(*) + 1) // 2 FROM embeddings))),
+ex AS (SELECT query_id, id, list_distance(a.embedding::double[], b.embedding::double[]) AS distance FROM cand JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id)
+SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM ex QUALIFY rank <= 5""")
 def pq_adc_topk(spark, d):
-    book = _book(spark, d)
-    codes = cluster.encode(_emb(spark, d), book, 8)
-    return _ranked(rounded(cluster.pq_search(vector_queries(spark, d), codes, book, 8, 5)))
+    """Half of the vectors, by asymmetric distance over a coarse codebook of a few centroids, re-ranked by exact distances."""
+    e, book = _emb(spark, d), _book(spark, d)
+    found = cluster.pq_rerank(vector_queries(spark, d), e, cluster.encode(e, book, 8), book, 8, 5, max(50, -(-e.count() // 2)))
+    return _ranked(rounded(found))
 
 
 @query()
@@ -346,16 +353,52 @@ def pq_trained_topk(spark, d):
     return _ranked(rounded(cluster.pq_rerank(vector_queries(spark, d), e, cluster.encode(e, book, 8), book, 8, 5)))
 
 
-@query()
+def _mmr_sql(k: int, lam: float) -> str:
+    """Pick by pick: what is left of each query's candidates, with the worst similarity to the picks so far."""
+    out = [f"WITH {E_CTE}, s AS ({PAIRS}), r0 AS (SELECT s.query_id, s.chunk_index, s.score, e.v, 0.0::double AS pen FROM s JOIN e USING (chunk_index) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.grp, s.chunk_index) <= 20)"]
+    value = f"{lam} * score - {1 - lam} * pen"
+    for i in range(k):
+        out.append(f"p{i} AS (SELECT * FROM r{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({value}, 12) DESC, score DESC, chunk_index) = 1)")
+        out.append(f"r{i + 1} AS (SELECT r.query_id, r.chunk_index, r.score, r.v, greatest(r.pen, {COS.format('r.v', 'p.v')}) AS pen FROM r{i} r JOIN p{i} p USING (query_id) WHERE r.chunk_index <> p.chunk_index)")
+    picks = " UNION ALL ".join(f"SELECT query_id, chunk_index AS doc_id, {i + 1} AS mmr_rank, round(score, 6) AS relevance, round(pen, 6) AS similarity, round({value}, 6) AS value FROM p{i}" for i in range(k))
+    return ", ".join(out) + " " + picks
+
+
+@query(_mmr_sql(5, 0.5))
 def mmr_topk(spark, d):
     hits = vectors.exact_search(vector_queries(spark, d), vector_table(spark, d), 20)
     return rounded(search.mmr(hits.join(vector_table(spark, d), ["grp", "chunk_index"]).withColumnRenamed("chunk_index", "doc_id"), 5))
 
 
+@query("SELECT event_id, round(value, 6) AS value FROM (SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20)")
+def top_values(spark, d):
+    return rounded(vectors.top_k_indices(table(spark, d, "events").select("event_id", "value"), "value", "event_id", 20))
 
 
-@query()
+@query(f"WITH {E_CTE}, s AS ({PAIRS} WHERE b.grp <> 3) SELECT query_id, grp, chunk_index, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS rank FROM s WHERE score >= 0.2 QUALIFY rank <= 5")
+def valid_topk(spark, d):
+    """Exact search where one group's vectors have half the length, which are skipped."""
+    v = vector_table(spark, d).withColumn("v", F.when(F.col("grp") == 3, F.slice("v", 1, 32)).otherwise(F.col("v")))
+    return _ranked(rounded(vectors.top_k_valid(vector_queries(spark, d), v, 5, 0.2), 5))
+
+
+@query(f"SELECT label, chunk_index, round(similarity, 6) AS similarity FROM (SELECT e.label, e.vec_id AS chunk_index, {COS.format('q.embedding', 'e.embedding')} AS similarity FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(similarity, 9) DESC, chunk_index) = 1")
+def best_chunk(spark, d):
+    q = _emb(spark, d).orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    rows = _emb(spark, d).select("label", F.col("vec_id").alias("chunk_index"), F.col("embedding").alias("v")).crossJoin(F.broadcast(q))  # one row
+    return rounded(scoring.best_chunk(rows, F.col("q"), ["label"], "chunk_index").select("label", "chunk_index", "similarity"))
+
+
+@query(f"WITH {TWO}, x AS (SELECT query_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, chunk_index) AS r FROM ({PAIRS}) QUALIFY r <= 5) SELECT count(DISTINCT x.query_id) AS n_queries, round(count(*) FILTER (r = 1 AND two.rank = 1) / count(*) FILTER (r = 1), 6) AS recall_at_1, round(count(two.rank) / count(*), 6) AS recall_at_5 FROM x LEFT JOIN two ON two.query_id = x.query_id AND two.chunk_index = x.chunk_index")
+def ann_profile(spark, d):
+    q, v = vector_queries(spark, d), vector_table(spark, d)
+    return rounded(descriptors.profile(vectors.exact_search(q, v, 5), vectors.two_stage(q, v, 5)))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+')) AS w FROM documents), h AS (SELECT w, {FNV.format('w')} AS h FROM (SELECT DISTINCT w FROM w)),
+s AS (SELECT doc_id, (h % 64)::int AS dim, sum(CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END)::double AS x FROM w JOIN h USING (w) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM s GROUP BY 1)
+SELECT d.doc_id, g.dim::int AS dim, round(coalesce(CASE WHEN n > 0 THEN x / n ELSE 0 END, 0)::float::double, 5) AS x FROM documents d CROSS JOIN range(64) g(dim) LEFT JOIN s ON s.doc_id = d.doc_id AND s.dim = g.dim LEFT JOIN n ON n.doc_id = d.doc_id""")
 def hashing_embed(spark, d):
-    """Hashing embedder over the whole texts: sums of the vectors' values by document."""
+    """The hashing embedder's vectors of whole texts, dimension by dimension."""
     e = table(spark, d, "documents").select("doc_id", X.hashing_embedding("text", 64).alias("v"))
     return rounded(e.select("doc_id", F.posexplode("v").alias("dim", "x")), 5)
