@@ -45,28 +45,53 @@ class BadGif(ValueError):
     """The image can't be read further."""
 
 
+def _code_runs(data: bytes, width: int) -> Iterator[list[int]]:
+    """The codes between clear codes, up to the stop code or the data's end.
+
+    A code's width follows from its number since the last clear code alone, as each but the first adds an entry to the table; so
+    thousands of codes are cut out of the bytes at once.
+    """
+    clear, stop, total = 1 << width, (1 << width) + 1, 8 * len(data)
+    d = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    p = k = 0
+    run: list[int] = []
+    while True:
+        m = min(4096, max(1, (total - p) // (width + 1)))
+        entries = clear + 2 + np.maximum(np.arange(k, k + m) - 1, 0)
+        bits = np.clip(np.searchsorted(_SIZES, entries, "right"), width + 1, 12)
+        at = p + np.cumsum(bits) - bits
+        at = at[at + bits <= total]
+        bits = bits[: len(at)]
+        i = at >> 3
+        codes = ((d[i] | d[i + 1] << 8 | d[i + 2] << 16) >> (at & 7).astype(np.uint32)) & ((1 << bits) - 1).astype(np.uint32)
+        special = np.flatnonzero((codes == clear) | (codes == stop))
+        if not len(special):
+            run += codes.tolist()
+            k += len(codes)
+            if not len(codes) or int(at[-1] + bits[-1]) + width + 1 > total:
+                yield run
+                return
+            p = int(at[-1] + bits[-1])
+            continue
+        j = int(special[0])
+        run += codes[:j].tolist()
+        yield run
+        if codes[j] == stop:
+            return
+        p, k, run = int(at[j] + bits[j]), 0, []
+
+
+_SIZES = 1 << np.arange(13)
+
+
 def unpack_lzw(data: bytes, width: int, n: int) -> np.ndarray:
     """The first n indices of a code stream that starts with codes of width + 1 bits."""
-    clear, stop = 1 << width, (1 << width) + 1
+    clear = 1 << width
     single = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, bits = single.copy(), width + 1
-    limit, mask = 1 << bits, (1 << bits) - 1
-    acc = have = size = 0
-    last = None
-    out = []
-    for byte in data:
-        acc |= byte << have
-        have += 8
-        while have >= bits:
-            code = acc & mask
-            acc >>= bits
-            have -= bits
-            if code == clear:
-                table, bits, last = single.copy(), width + 1, None
-                limit, mask = 1 << bits, (1 << bits) - 1
-                continue
-            if code == stop:
-                return _filled(out, size, n)
+    size, out = 0, []
+    for run in _code_runs(data, width):
+        table, last = single.copy(), None
+        for code in run:
             if last is None:
                 if code >= clear:
                     raise BadGif("code before any other")
@@ -80,9 +105,6 @@ def unpack_lzw(data: bytes, width: int, n: int) -> np.ndarray:
                     raise BadGif("code out of order")
                 if len(table) < 4096:
                     table.append(last + entry[:1])
-                    if len(table) == limit and bits < 12:
-                        bits += 1
-                        limit, mask = 1 << bits, (1 << bits) - 1
             out.append(entry)
             size += len(entry)
             last = entry

@@ -389,6 +389,58 @@ def test_gif_round_trip():
     assert gif.histogram(got[0][1]).sum() == 77
 
 
+def by_hand(codes):
+    """Bytes of (code, bits) pairs, lowest bits first."""
+    value = at = 0
+    for code, bits in codes:
+        value |= code << at
+        at += bits
+    return value.to_bytes(-(-at // 8), "little")
+
+
+def test_gif_golden_bytes():
+    """Images that this repository's encoder had no hand in."""
+    sample = bytes.fromhex("474946383961 0a000a00 910000 ffffff ff0000 0000ff 000000 21f90400000000 00 2c000000000a000a0000 02 16 8c2d99872a1cdc33a00275ec95faa8de608c04914c01 00 3b")
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    palette = [(255, 255, 255), (255, 0, 0), (0, 0, 255), (0, 0, 0)]
+    (delay, canvas), = gif.decode(sample)
+    assert delay == 0 and canvas[..., :3].tolist() == [[list(palette[int(c)]) for c in row] for row in rows] and (canvas[..., 3] == 255).all()
+    # two bits a pixel: clear 4, stop 5; an entry that is used before it is whole; widths by the format's rule
+    assert gif.unpack_lzw(by_hand([(4, 3), (1, 3), (6, 3), (2, 3), (3, 4), (5, 4)]), 2, 5).tolist() == [1, 1, 1, 2, 3]
+    # 3 codes of 3 bits fill the table to 8 entries, 8 more of 4 bits to 16, and so on; a clear code in between
+    codes, size, bits, want = [(4, 3)], 6, 3, []
+    for i in range(3000):
+        codes.append((i * 7 % 4, bits))
+        want.append(i * 7 % 4)
+        if i and size < 4096:
+            size += 1
+            bits = min(12, bits + (size == 1 << bits))
+    codes += [(4, 12), (2, 3), (6, 3), (5, 3)]
+    assert bits == 12 and gif.unpack_lzw(by_hand(codes), 2, 3003).tolist() == [*want, 2, 2, 2]
+    # beyond 4096 entries nothing is added and codes stay at 12 bits
+    long = np.random.default_rng(3).integers(0, 256, 20_000)
+    size, bits, codes = 258, 9, [(256, 9)]
+    for i, x in enumerate(long.tolist()):
+        codes.append((x, bits))
+        if i and size < 4096:
+            size += 1
+            bits = min(12, bits + (size == 1 << bits))
+    assert (gif.unpack_lzw(by_hand(codes), 8, len(long)) == long).all()
+
+
+def test_gif_disposal_and_transparency_by_hand():
+    """One pixel after another: left in place, back to nothing, back to what was before."""
+    def image(left, index, disposal, transparent, delay):
+        control = bytes([0x21, 0xF9, 4, disposal << 2 | (transparent is not None), delay, 0, transparent or 0, 0])
+        return control + bytes([0x2C, left, 0, 0, 0, 1, 0, 1, 0, 0, 2, 2]) + by_hand([(4, 3), (index, 3), (5, 3)]) + b"\0"
+
+    head = b"GIF89a" + bytes([2, 0, 1, 0, 0x81, 0, 0]) + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    data = head + image(0, 1, 1, None, 3) + image(1, 2, 2, None, 5) + image(1, 3, 3, None, 0) + image(1, 0, 0, 0, 1) + b"\x3b"
+    got = [(d, c[0].tolist()) for d, c in gif.decode(data)]
+    red, green, blue, none = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [0, 0, 0, 0]
+    assert got == [(30, [red, none]), (50, [red, green]), (0, [red, blue]), (10, [red, none])]
+
+
 def test_gif_awkward(spark):
     good = gif.encode(2, 2, np.array([[0, 0, 0], [255, 0, 0]], np.uint8), [gif.Frame(np.array([[0, 1], [1, 0]]))])
     d = spark.createDataFrame([(1, bytearray(good), 0), (2, None, 0), (3, bytearray(b""), 0), (4, bytearray(b"not a gif"), 0), (5, bytearray(good[:-8]), 0), (1, bytearray(good), 1)], "id long, gif binary, frame int")
