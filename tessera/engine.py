@@ -12,6 +12,7 @@ from .functions.text import hashing_embedding
 from .operators import chunking, lexical, scoring, search
 from .operators.vectors import paired
 from .sources.filters import checked, matches
+from .sources.shared import shared_folder
 from .sources.store import ChunkStore
 
 
@@ -44,6 +45,8 @@ class Engine:
         """Chunks of the documents (id, title, text) replace what the store has of them; returns how many."""
         rows = chunking.result_rows(docs, self.strategy, self.size, self.overlap)
         rows = rows.withColumn("embedding", self.embed(F.col("content")).cast("array<double>")).withColumn("metadata", F.to_json("metadata")).withColumn("index_identity", F.lit(self.identity))
+        shared_folder(self.spark)
+        rows = rows.checkpoint()  # cut and embedded once, then checked and written
         self.store.replace_documents(docs.select(F.col("id").alias("document_id")), rows)
         return self.store.read().join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").count()
 
@@ -59,7 +62,9 @@ class Engine:
         return both.select("query_id", "query", "id", "raw_embedding", "raw_keyword", "raw_filename", "recency_score", "importance_score")
 
     def search(self, queries: DataFrame, options: Options = Options()) -> DataFrame:
-        """(query_id, rank, id, document_id, filename, content, score[, explain]) of the best chunks; blank queries have no rows.
+        """(query_id, rank, id, document_id, filename, content, score[, explain, rerank, mmr]) of the best chunks; blank queries have no rows.
+
+        With options.explain: signals and ranks of the lanes; the rank before and after the reranker; what diversification weighed.
 
         Candidates are cut by the default weights; what survives is calibrated anew and scored by the options' weights; then
         comes the reranker, then diversification or the cut to top_k.
@@ -72,9 +77,12 @@ class Engine:
             found = found.where(F.col("rank") <= max(k, 0))
         found = found.join(self.store.read().select("id", "document_id", "filename", "content", F.col("embedding").alias("v")), "id")
         if options.reranker:
-            found = search.rerank(found, options.reranker).drop("rank", "previous_rank").withColumnRenamed("rerank_rank", "rank")
+            found = search.rerank(found, options.reranker).drop("rank")
+            if options.explain:
+                found = found.withColumn("rerank", F.struct(F.col("previous_rank").alias("before"), F.col("rerank_rank").alias("after"), F.col("score").alias("score")))
+            found = found.drop("previous_rank").withColumnRenamed("rerank_rank", "rank")
         if options.mmr is not None:
-            picked = search.mmr(found.withColumnRenamed("id", "doc_id"), k if k is not None else 1 << 30, options.mmr).select("query_id", F.col("doc_id").alias("id"), F.col("mmr_rank").alias("__r"))
+            picked = search.mmr(found.withColumnRenamed("id", "doc_id"), k if k is not None else 1 << 30, options.mmr).select("query_id", F.col("doc_id").alias("id"), F.col("mmr_rank").alias("__r"), *([F.struct("relevance", "similarity", "value").alias("mmr")] if options.explain else []))
             found = found.join(picked, ["query_id", "id"]).drop("rank").withColumnRenamed("__r", "rank")
         elif k is not None:
             found = found.where(F.col("rank") <= max(k, 0))

@@ -414,6 +414,11 @@ def framed_identity(*fields: Column) -> Column:
     return F.sha2(F.concat(*(F.concat(F.octet_length(f).cast("string"), F.lit(":"), f) for f in fields)), 256)
 
 
+def model_identity(provider: str, name: str, version: str = "", revision: str = "", dim: int = 0) -> str:
+    """What tells vector spaces apart: the model's fields, each after its length in bytes."""
+    return "modelref:v1:" + "".join(f"{len(f.encode())}:{f}" for f in (provider, name, version, revision, str(dim)))
+
+
 def extension_allowed(path: Column | str, allow: Sequence[str] = (), deny: Sequence[str] = (), ignored: Sequence[str] = ()) -> Column:
     """Path filter: extensions (with or without a dot, any case) and names of directories to leave out."""
     norm = lambda xs: ["." + x.lower().lstrip(".") for x in xs]
@@ -454,6 +459,12 @@ def span_text(text: Column | str, start: Column, end: Column) -> Column:
     return F.when((start >= 0) & (end >= start) & (end <= F.octet_length(_col(text))), F.when(F.is_valid_utf8(part.cast("string")), part.cast("string")))
 
 
+def character_offset(text: Column | str, offset: Column) -> Column:
+    """The number of characters before a byte offset, or null where it lies within a character or outside the text."""
+    head = F.substring(F.encode(_col(text), "UTF-8"), F.lit(1), offset.cast("int")).cast("string")
+    return F.when((offset >= 0) & (offset <= F.octet_length(_col(text))) & F.is_valid_utf8(head), F.char_length(head))
+
+
 def byte_offset(text: Column | str, characters: Column) -> Column:
     return F.octet_length(F.left(_col(text), characters))
 

@@ -207,3 +207,8 @@ def percentiles(scores: DataFrame, cohort: DataFrame, score: str = "score", samp
     return scores.join(rank, F.col(score).cast("double") == F.col("__v")).drop("__v")
 
 
+def against_cohort(hits: DataFrame, cohort: DataFrame, by: str = "query_id", id_column: str = "id", sample: str = "sample") -> DataFrame:
+    """Ranked hits with their percentiles in the cohort as scores, ranked anew; equal percentiles keep the order of the scores they had."""
+    found = percentiles(hits, cohort, "score", sample)
+    w = Window.partitionBy(by).orderBy(F.desc("percentile"), F.desc("score"), id_column)
+    return found.withColumn("rank", F.row_number().over(w)).drop("score").withColumnRenamed("percentile", "score")

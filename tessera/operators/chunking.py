@@ -98,6 +98,21 @@ def words(text: str) -> list[str]:
     return re.findall(r"\s|\S+", text)
 
 
+def locate(text: str, fragment: str, cursor: int = 0, early: bool = False) -> tuple[int, int] | None:
+    """Where a fragment lies in a text: verbatim from the cursor on, verbatim anywhere, or with any white space for its white space.
+
+    The last from the cursor on, then anywhere; with `early`, from the cursor on before verbatim anywhere. None if it isn't there.
+    """
+    if not fragment:
+        return None
+    cursor = cursor if 0 <= cursor <= len(text) else 0
+    verbatim = lambda at: (i, i + len(fragment)) if (i := text.find(fragment, at)) >= 0 else None
+    loose = re.compile(r"\s+".join(map(re.escape, fragment.split()))) if fragment.strip() else None
+    spaced = lambda at: m.span() if loose and (m := loose.search(text, at)) else None
+    ways = [(verbatim, cursor), (spaced, cursor), (verbatim, 0), (spaced, 0)] if early else [(verbatim, cursor), (verbatim, 0), (spaced, cursor), (spaced, 0)]
+    return next((found for way, at in ways if (found := way(at))), None)
+
+
 def _joined(parts: list[Piece], text: str, by: str) -> Piece:
     whole = by.join(p.text for p in parts)
     if all(p.start >= 0 for p in parts) and parts:
@@ -371,17 +386,38 @@ def token_pieces(text: str, size: int, overlap: int, tokenizer=None) -> list[Pie
     """Windows of tokens with a step of size - overlap; without a tokenizer (encode, decode), words at four characters a token."""
     if tokenizer is None:
         return word_boundary(text, size * 4, overlap * 4)
-    ids, out, step = tokenizer.encode(text), [], max(1, size - overlap)
-    at = 0
-    for i in range(0, len(ids), step):
-        part = tokenizer.decode(ids[i : i + size]).strip("�").strip()
-        found = text.find(part, at) if part else -1
+    overlap = min(max(overlap, 0), size - 1)
+    ids, out, at = tokenizer.encode(text), [], 0
+    for i in range(0, len(ids), size - overlap):
+        last = i + size >= len(ids)
+        part = tokenizer.decode(ids[i : i + size])
+        if not last:
+            part = _whole_end(part)
+        if i:
+            part = _whole_start(part)
         if part:
+            found = text.find(part, at)
             out.append(Piece(part, found, found + len(part)) if found >= 0 else Piece(part))
-            at = max(at, found) if found >= 0 else at
-        if i + size >= len(ids):
+            if found >= 0:
+                at = found + 1 if overlap else found + len(part)
+        if last:
             break
-    return out
+    return hard_limit(out, size * 6, text)
+
+
+def _whole_start(part: str) -> str:
+    """Without what is likely the rest of a word: up to nine bytes before white space."""
+    m = re.search(r"[ \n\t]", part)
+    return part[m.start() + 1 :] if m and 0 < len(part[: m.start()].encode()) < 10 else part
+
+
+def _whole_end(part: str) -> str:
+    """Up to a sentence's end in the last 20 bytes, else up to white space in the last 10, else as it is."""
+    for ends, reach, keep in ((".!?", 20, 1), (" \n\t", 10, 0)):
+        at = max(part.rfind(c) for c in ends)
+        if at > 0 and len(part[at:].encode()) < reach:
+            return part[: at + keep]
+    return part
 
 
 def within_tokens(text: str, limit: int, count: Callable[[str], int]) -> list[str]:
@@ -466,9 +502,14 @@ def pieces(text: str | None, strategy: str = "smart", size: int = DEFAULT_SIZE,
     """Chunk rows of one text; none for an empty text or a size of 0 or less."""
     if not text or size <= 0:
         return []
-    out, at, byte = [], 0, 0
+    if count is None and options.get("tokenizer") is not None:
+        count = options["tokenizer"].count
+    out, at, byte, cursor = [], 0, 0, 0
     for i, p in enumerate(STRATEGIES[strategy](text, size, max(0, overlap), **options)):
         start = end = 0
+        if p.start < 0 and (found := locate(text, p.text, cursor)):
+            p = p._replace(start=found[0], end=found[1])
+        cursor = p.start if p.start >= 0 else cursor
         if p.start >= 0 and text[p.start : p.end].strip() and p.end > p.start:
             byte = byte + len(text[at : p.start].encode()) if p.start >= at else len(text[: p.start].encode())
             at = p.start

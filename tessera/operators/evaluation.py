@@ -101,6 +101,60 @@ def by_source(candidates: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     return n.join(metrics(candidates, judgments, k, ["source"]), ["query_id", "source"])
 
 
+def fixture_problems(queries: DataFrame, judgments: DataFrame) -> DataFrame:
+    """(problem, query_id, doc_id) of a fixture that can't be evaluated: empty or repeated query ids, judgments without a document, repeated
+    ones, with relevance that isn't finite or is negative, and queries without a relevant document. No rows for a sound one."""
+    q, j = queries.select("query_id"), judgments.select("query_id", "doc_id", "relevance")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    none = F.lit(None).cast("string")
+    found = lambda rows, name, doc=none: rows.select(F.lit(name).alias("problem"), F.col("query_id").cast("string").alias("query_id"), doc.alias("doc_id"))
+    doc = F.col("doc_id").cast("string")
+    out = found(q.where(blank("query_id")), "empty query id")
+    out = out.union(found(q.groupBy("query_id").count().where("count > 1"), "repeated query id"))
+    out = out.union(found(j.where(blank("doc_id")), "empty document id", doc))
+    out = out.union(found(j.groupBy("query_id", "doc_id").count().where("count > 1"), "repeated judgment", doc))
+    out = out.union(found(j.where(F.isnan("relevance") | F.col("relevance").isNull() | (F.abs("relevance") == float("inf")) | (F.col("relevance") < 0)), "relevance", doc))
+    out = out.union(found(q.distinct().join(j.where("relevance > 0"), "query_id", "left_anti"), "no relevant document"))
+    return out.union(found(j.join(q, "query_id", "left_anti").select("query_id", "doc_id"), "unknown query", doc))
+
+
+def run_problems(run: DataFrame) -> DataFrame:
+    """(problem, query_id, doc_id) of a run whose rows can't be ranked: empty ids, ranks under 1 and ranks that two documents share."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    doc = F.col("doc_id").cast("string").alias("doc_id")
+    named = lambda rows, name, d: rows.select(F.lit(name).alias("problem"), F.col("query_id").cast("string").alias("query_id"), d)
+    out = named(run.where(blank("doc_id") | blank("query_id")), "empty id", doc)
+    out = out.union(named(run.where(F.coalesce(F.col("rank"), F.lit(0)) < 1), "rank", doc))
+    shared = run.groupBy("query_id", "rank").agg(F.count_distinct("doc_id").alias("n")).where("n > 1")
+    return out.union(named(shared, "shared rank", F.lit(None).cast("string").alias("doc_id")))
+
+
+def tune_mmr(candidates: DataFrame, judgments: DataFrame, grid: DataFrame, lambdas: list[float], k: int, vector: str = "v", least: dict[str, float] | None = None) -> DataFrame:
+    """As tune(), for every weighting with every lambda: candidates (query_id, doc_id, <signal>..., vector) are diversified before they are measured.
+
+    Ties go to smaller weights, then smaller lambdas. Each query's candidates should be a bounded list.
+    """
+    from .search import mmr
+
+    signals = [c[2:] for c in grid.columns if c.startswith("w_")]
+    score = sum((F.coalesce(s, F.lit(0.0)) * F.col(f"w_{s}") for s in signals), F.lit(0.0))
+    first = candidates.dropDuplicates(["query_id", "doc_id"])
+    scored = first.crossJoin(F.broadcast(grid)).withColumn("score", score)  # the grid is made by hand
+    runs = None
+    for lam in lambdas:
+        keyed = scored.withColumn("key", F.to_json(F.struct("grid_id", "query_id")))
+        picks = mmr(keyed, k, lam, by="key", vector=vector).select("key", "doc_id", F.col("mmr_rank").alias("rank"))
+        ids = keyed.select("key", "grid_id", "query_id").distinct()
+        one = picks.join(ids, "key").select("grid_id", "query_id", "doc_id", "rank", F.lit(float(min(1.0, max(0.0, lam)))).alias("lambda"))
+        runs = one if runs is None else runs.union(one)
+    m = metrics(runs, judgments, k, ["grid_id", "lambda"]).groupBy("grid_id", "lambda").agg(*(F.avg(c).alias(c) for c in METRICS[:4]), F.floor(F.avg("unique_topics")).cast("int").alias("unique_topics"))
+    out = m.join(F.broadcast(grid), "grid_id")
+    bad = [F.col(c) < v for c, v in (least or {}).items()]
+    out = out.withColumn("rejected", F.lit(False) if not bad else sum((b.cast("int") for b in bad[1:]), bad[0].cast("int")) > 0)
+    w = Window.partitionBy(F.lit(1)).orderBy("rejected", *(F.desc(F.round(c, 12)) for c in ("ndcg", "recall", "mrr", "precision", "unique_topics")), *(f"w_{s}" for s in signals), "lambda")  # a row for each setting
+    return out.withColumn("place", F.row_number().over(w))
+
+
 def tune(candidates: DataFrame, judgments: DataFrame, grid: DataFrame, k: int, least: dict[str, float] | None = None) -> DataFrame:
     """Every weighting of a grid (grid_id, w_<signal>...), ranked and measured in one plan, best first.
 

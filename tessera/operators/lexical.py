@@ -38,7 +38,12 @@ def document_frequency(posting: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, query_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, score) of each pair that shares a term.
+    """(query_id, doc_id, score) of each pair that shares a term."""
+    return bm25_terms(queries, docs, k1, b, query_id, doc_id).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+
+
+def bm25_terms(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, query_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
+    """(query_id, doc_id, term, tf, df, idf, part): what each shared term adds to a score.
 
     Texts are tokenised once: what is kept of them are the tokens that some query has, with their counts, and a row for each
     document with its length. A k1 of 0 or less and a b of 0 or less or over 1 mean the defaults.
@@ -57,7 +62,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, quer
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rate = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = p.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * rate).alias("score"))
+    return scored.select("query_id", "doc_id", "term", "tf", "df", idf.alias("idf"), (F.col("qtf") * idf * rate).alias("part"))
+
+
+def match_all(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
+    """(query_id, doc_id) of the documents that have every term of a query; a query without terms matches nothing. A join on terms, not on pairs."""
+    terms = lambda rows, name, key: rows.select(F.col(name).alias(key), F.explode(F.array_distinct(analyze("text"))).alias("term"))
+    q = terms(queries, query_id, "query_id")
+    n = q.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = q.join(terms(docs, doc_id, "doc_id"), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    return hits.join(n, "query_id").where("hits = n").select("query_id", "doc_id")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", order: list[Column] | None = None) -> DataFrame:

@@ -85,3 +85,34 @@ def context(results: DataFrame, budget: int, tokens: Column, by: str = "query_id
     used = rows.withColumn("used", F.sum("n").over(Window.partitionBy(by).orderBy("block_no"))).where(F.col("used") <= budget)
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "block"))), lambda b: b["block"])
     return used.groupBy(by).agg(F.array_join(blocks, "\n\n").alias("context"), F.count("*").alias("n_blocks"))
+
+
+def attach(results: DataFrame, embeddings: DataFrame, position: str = "position", vector: str = "v") -> DataFrame:
+    """Results with the embeddings of the same positions; an error unless both sides have the same positions, each once."""
+    a, b = results.groupBy(position).agg(F.count("*").alias("n")), embeddings.groupBy(position).agg(F.count("*").alias("m"))
+    bad = a.join(b, position, "full").where("n is null or m is null or n > 1 or m > 1")
+    wrong = [r[position] for r in bad.orderBy(position).limit(5).collect()]
+    if wrong:
+        raise ValueError(f"results and embeddings don't go together at positions {wrong}")
+    return results.drop(vector).join(embeddings.select(position, F.col(vector)), position)
+
+
+def embedded(results: DataFrame, embed: Callable[[Column], Column], content: str = "content", vector: str = "v") -> DataFrame:
+    """Results with the embeddings of their contents; a missing content is an error."""
+    text = F.when(F.col(content).isNotNull(), F.col(content)).otherwise(F.raise_error(F.lit("a result has no content")).cast("string"))
+    return results.withColumn(vector, embed(text).cast("array<double>"))
+
+
+def lexical_results(queries: DataFrame, rows: DataFrame, k: int, explain: bool = False) -> DataFrame:
+    """The k best rows (id, content, ...) of a store by BM25 for each query (query_id, query), with scores and ranks, and on demand each shared term's part.
+
+    explain: an array of (term, tf, df, idf, part), by term, whose parts sum up to the score.
+    """
+    from . import lexical
+
+    q = queries.select(F.col("query_id").alias("item_id"), F.col("query").alias("text"))
+    d = rows.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    terms = lexical.bm25_terms(q, d)
+    total = terms.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), *([F.array_sort(F.collect_list(F.struct("term", "tf", "df", "idf", "part"))).alias("explain")] if explain else []))
+    best = lexical.top_k(total.withColumn("score", F.round("score", 12)), k)
+    return best.withColumnRenamed("doc_id", "id").join(rows, "id")

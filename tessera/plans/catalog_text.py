@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import aggregates, dedup, evaluation, lexical, scoring
+from ..operators import aggregates, chunking, dedup, evaluation, lexical, scoring
 from ..sources.shared import shared_folder
 from .tables import bm25_run, judgments, rounded, table
 
@@ -382,9 +382,7 @@ def calibrated_band(spark, d):
 
 @query("SELECT doc_id, substr(text, 1 + 500 * i::int, 500) AS chunk, i::int AS n FROM (SELECT doc_id, text, unnest(range(0, ((length(text) + 499) // 500)::bigint)) AS i FROM documents)")
 def hard_cut_chunks(spark, d):
-    rows = _docs(spark, d).where(F.char_length("text") > 0)
-    parts = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 500).cast("int"))).alias("n"))
-    return parts.select("doc_id", F.substring("text", 1 + 500 * F.col("n"), F.lit(500)).alias("chunk"), "n")
+    return chunking.chunk(_docs(spark, d), "hard_cut", 500, 0).select("doc_id", F.col("text").alias("chunk"), F.col("id").alias("n"))
 
 
 TURNS = "p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"
@@ -444,3 +442,26 @@ def mapping_report(spark, d):
     n = table(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("index"))
     ids = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("id")).union(n.select("id")).withColumn("rank", F.lit(1))
     return lexical.mapped_ids(ids, n)[1].select("n_empty", "n_unknown")
+
+
+@query(f"WITH d AS (SELECT doc_id, {TOK} AS t FROM documents) SELECT item_id AS query_id, doc_id FROM (SELECT item_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:3], ' ') AS head FROM benchmark) b, d WHERE list_has_all(d.t, {TOK.replace('text', 'head')}) AND len({TOK.replace('text', 'head')}) > 0")
+def match_all_terms(spark, d):
+    """Documents that have every one of an item's first three words."""
+    q = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ").alias("text"))
+    return lexical.match_all(q, _docs(spark, d))
+
+
+@query("SELECT event_id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (props->>'$.k')::double = 3 AND event_id % 2 = 0")
+def metadata_containment(spark, d):
+    from ..sources.filters import contains
+
+    wrapped = F.concat(F.lit('{"outer": {"list": [1, "x", '), F.col("props"), F.lit('], "even": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}}"))
+    e = table(spark, d, "events").withColumn("metadata", F.parse_json(wrapped))
+    return e.where(contains({"outer": {"list": ["x", {"k": 3}], "even": True}})).select("event_id")
+
+
+@query("SELECT doc_id, length(text[1:7]) AS characters FROM documents")
+def byte_offsets(spark, d):
+    """From characters to bytes and back."""
+    n = F.least(F.lit(7), F.char_length("text"))
+    return _docs(spark, d).select("doc_id", X.character_offset("text", X.byte_offset("text", n)).cast("long").alias("characters"))

@@ -48,3 +48,30 @@ def matches(filters: dict, metadata: str = "metadata") -> Column:
                 one = number & (F.try_variant_get(metadata, _path(key), "decimal(38,18)") == F.lit(f"{exact:f}").cast("decimal(38,18)"))
         out = out & F.coalesce(one, F.lit(False))
     return out
+
+
+def contains(wanted: dict, metadata: str = "metadata") -> Column:
+    """JSON containment: the VARIANT metadata has every key of `wanted`, at any depth, with an equal scalar, a containing object, or an
+    array that has every element asked for."""
+
+    def inner(v: Column, want: object) -> Column:
+        if isinstance(want, dict):
+            out = F.schema_of_variant(v).startswith("OBJECT")
+            for key, value in want.items():
+                out = out & inner(F.try_variant_get(v, _path(key), "variant"), value)
+            return out
+        if isinstance(want, (list, tuple)):
+            out = F.schema_of_variant(v).startswith("ARRAY")
+            for value in want:
+                out = out & F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda x, value=value: inner(x, value))
+            return out
+        if want is None:
+            return v.isNotNull() & F.is_variant_null(v)
+        if isinstance(want, bool):
+            return (F.schema_of_variant(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == want)
+        if isinstance(want, str):
+            return (F.schema_of_variant(v) == "STRING") & (F.try_variant_get(v, "$", "string") == want)
+        kind = F.schema_of_variant(v)
+        return (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & (F.try_variant_get(v, "$", "double") == float(want))
+
+    return F.coalesce(inner(F.col(metadata), wanted), F.lit(False))

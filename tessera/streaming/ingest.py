@@ -81,6 +81,7 @@ def index_sink(store: ChunkStore, identity: str = "") -> Callable[[DataFrame, in
         named = F.coalesce("index_identity", F.lit("")) if "index_identity" in rows.columns else F.lit("")
         if identity and rows.where((named != "") & (named != identity)).limit(1).count():
             raise ValueError("rows of another identity")
-        store.upsert(rows.withColumn("index_identity", F.when(named == "", identity).otherwise(named)))
+        # of rows with one id the last as they were decoded stays; the batch is written, so that its order is fixed
+        store.upsert(rows.withColumn("index_identity", F.when(named == "", identity).otherwise(named)).withColumn("__at", F.monotonically_increasing_id()), "__at")
 
     return write

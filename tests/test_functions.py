@@ -54,8 +54,13 @@ def test_simhash(spark):
 
 
 def test_near_term(spark):
+    """The term's own length counts: none under seven characters, one change to nine, two from ten on; one trailing s goes first."""
     n = lambda a, b: one(spark, text.near_term(F.col("a"), F.col("b")), a=a, b=b)
-    assert n("cats", "cat") and n("streaming", "streamimg") and not n("short", "shirt") and n("constellation", "constelation")
+    assert n("examplf", "example") and n("examples", "example") and n("Example", "example")
+    assert not n("probe", "prone") and not n("probe", "probe") and not n("probes", "probe")
+    assert not n("examxxe", "example") and n("configurxx", "configurab") and not n("configxxx", "configura")
+    # ten characters against nine: two changes, but only this way round
+    assert n("abcdefghij", "abcdefghx") and not n("abcdefghx", "abcdefghij")
 
 
 def test_lines_and_spans(spark):
@@ -85,9 +90,18 @@ def test_recency(spark):
 
 
 def test_alias(spark):
-    s = lambda q, *p: one(spark, text.alias_score("q", "p"), q=q, p=list(p))
-    assert s("acme tools", "Acme Tools") == (1.0, "phrase") and s("acme", "Other", "ACME") == (1.0, "alias_phrase")
-    assert s("the acme tools shop", "acme tools").score == pytest.approx(0.96) and s("nothing alike", "acme").score == 0
+    s = lambda q, *p: tuple(one(spark, text.alias_score("q", "p"), q=q, p=list(p)))
+    assert s("acme tools", "Acme Tools") == (1.0, "exact_phrase") and s("acme", "Other", "ACME") == (1.0, "alias_phrase")
+    assert s("parent of Alex Quinn Examplf", "Alex Quinn Example") == (1.0, "fuzzy_token")
+    assert s("parent of Alex Quinn Example", "Alex Quinn Example") == (0.96, "alias_phrase")
+    assert s("alex", "Alex Quinn Example")[0] < 0.8 and s("al", "Alex Quinn Example") == (0.0, "")
+    assert s("alexander", "Alex")[0] < 0.8 and s("alexson", "Alex")[0] < 0.8 and s("derived", "$derived.by")[0] < 0.8
+    assert s("Alex Example", "Alex Quinn Example") == (0.84, "token_coverage") == s("Example Alex", "Alex Quinn Example")
+    assert s("Alex Example", "Record Alex Quinn Example")[0] < 0.8
+    for q, p in (("john", "john john"), ("anna", "anna anne"), ("anna", "anne anna"), ("anne zz", "anna middle anne")):
+        assert s(q, p)[0] < 0.8 and s(q, p)[1] == "token_coverage"
+    assert text._matched(["maria", "marie"], ["marin", "marla"]) == (2, True)
+    assert tuple(one(spark, text.alias_score("q", "p", ["record"]), q="alex quinn", p=["Record Alex Quinn"])) == (1.0, "exact_phrase")
 
 
 def test_analyzer_offsets(spark):
@@ -111,3 +125,46 @@ def test_binary_codes(spark):
     got = row.select("p", vector.hamming(F.col("p"), F.col("q")).alias("d")).first()
     assert got.d == ((x > 0) != (y > 0)).sum()
     assert [w % 2**64 for w in got.p] == [sum(1 << i for i, b in enumerate(x[k : k + 64] > 0) if b) for k in (0, 64, 128)]
+
+
+def slow_simhash(t, n):
+    """Character by character."""
+    import unicodedata
+
+    out, space = [], False
+    for c in t.lower():
+        if unicodedata.category(c)[0] in "LNM":
+            out, space = [*out, c], False
+        elif c.isspace() and not space:
+            out, space = [*out, " "], True
+    clean = "".join(out).strip()
+    if not clean and not t.strip():
+        return 0
+    grams = [clean[i : i + n] for i in range(len(clean) - n + 1) if clean[i] != " " and clean[i + n - 1] != " "] or [clean or "\0raw:" + t.lower()]
+    total = [0] * 64
+    for g in grams:
+        h = 0xCBF29CE484222325
+        for b in g.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        for i in range(64):
+            total[i] += 1 if h >> i & 1 else -1
+    return sum(1 << i for i in range(64) if total[i] > 0)
+
+
+def test_simhash_by_brute_force():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(800):
+        t = "".join(rng.choice("ab cd\t\n eéß漢\U0001f600'-_!.1² \u0301") for _ in range(rng.randrange(25)))
+        for n in (1, 3, 4):
+            assert text._simhash(t, n, 64) == slow_simhash(t, n), (t, n)
+
+
+def test_token_counts(spark):
+    from tessera.functions.tokenizer import Tokenizer, fill_token_counts, token_count
+
+    t = Tokenizer()
+    d = spark.createDataFrame([("one two three", 0), ("kept", 7), (None, 0), ("one two three", None)], "text string, token_count int")
+    assert [r.n for r in d.select(token_count("text").alias("n")).collect()] == [t.count("one two three"), t.count("kept"), None, t.count("one two three")]
+    assert [r.token_count for r in fill_token_counts(d).collect()] == [t.count("one two three"), 7, None, t.count("one two three")]
