@@ -14,10 +14,10 @@ its length.
 
 Signatures are cut into BANDS. Documents with equal bags are represented by one. In
 each bucket of a band, every member is compared with the least one, by the exact
-overlap of the multisets; in buckets that still hold different components after that, every member is compared with
-the least one of those that the first isn't connected to; and what is apart even then is compared pair by pair. So each pair that shares a bucket is either
-compared or already connected, and a bucket of thousands of copies takes as many
-comparisons as it has members.
+overlap of the multisets. A member that all others were compared with leaves the bucket. While what is
+left of a bucket holds different components, its members are compared with its least two, then four, and so on,
+unless they are connected already. So each pair that shares a bucket is either compared or connected, and a
+bucket of thousands of copies takes about as many comparisons as it has members.
 
 Defined results: documents without words (null or empty text) are in no group; a
 document of one word has that word as its element; rows without a doc_id are in no
@@ -39,6 +39,8 @@ BANDS, ROWS = 50, 5
 COMPONENTS = BANDS * ROWS
 #: The weighted Jaccard similarity from which documents are near-duplicates.
 SIMILARITY = 0.5
+#: Members of a bucket that the others are compared with in one round, at most; the number of rounds has no limit.
+MOST_PIVOTS = 512
 _ELEMENT = np.uint64(44)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,11 +173,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(T.in_slices(rows, schema, "text_a"), "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with the roots of their components, of the buckets that hold more than one component."""
-    w = Window.partitionBy("bucket")
-    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where(F.col("lo") < F.col("hi")).drop("lo", "hi")
+def _shared(rows: DataFrame, value: str) -> DataFrame:
+    """The rows of the buckets that hold more than one value, with the least one as `low`.
+
+    Buckets are aggregated before they are shuffled, so that no task gets the whole of a large one.
+    """
+    some = rows.groupBy("bucket").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low < high").drop("high")
+    return rows.join(some, "bucket")
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -186,25 +190,22 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     least = sketch.groupBy("bag").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     same = sketch.select("doc_id", "bag").join(least.where("n > 1"), "bag").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     bag = sketch.groupBy("bag").agg(F.min(F.struct(F.col("doc_id").alias("id"), "bands")).alias("s")).select("s.id", "s.bands")
-    in_bucket = Window.partitionBy("bucket")
-    members = bag.mapInArrow(_buckets, "bucket long, id long").withColumn("first", F.min("id").over(in_bucket)).withColumn("last", F.max("id").over(in_bucket)).where(F.col("first") < F.col("last"))
-    members = members.select("bucket", "id", "first").checkpoint()
-    stars = members.where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    linked = _verified(stars, texts).select("a", "b").checkpoint()
-    # again with the least member that isn't connected to the first one
-    mixed = _mixed(members, components(spark, linked))
-    least = F.min(F.when(F.col("root") != F.col("first_root"), F.col("id"))).over(in_bucket)
-    mixed = mixed.withColumn("first_root", F.max(F.when(F.col("id") == F.col("first"), F.col("root"))).over(in_bucket)).withColumn("second", least).select("bucket", "id", "first", "second", "root").checkpoint()
-    second_root = F.max(F.when(F.col("id") == F.col("second"), F.col("root"))).over(in_bucket)
-    stars = mixed.where(F.col("id") != F.col("first")).withColumn("second_root", second_root).where((F.col("root") != F.col("second_root")) & (F.col("id") != F.col("second")))
-    stars = stars.select(F.greatest("id", "second").alias("a"), F.least("id", "second").alias("b")).distinct()
-    linked = linked.union(_verified(stars, texts).select("a", "b")).checkpoint()
-    # what both leave apart within a bucket meets pair by pair
-    mixed = _mixed(mixed.drop("root"), components(spark, linked)).select("bucket", "id", "first", "second", "root")
-    other = mixed.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    apart = mixed.join(other, "bucket").where((F.col("id") > F.col("b")) & (F.col("root") != F.col("root_b")) & ~F.col("b").isin(F.col("first"), F.col("second")) & (F.col("id") != F.col("second")))
-    late = _verified(apart.select(F.col("id").alias("a"), "b").distinct(), texts).select("a", "b")
-    found = components(spark, linked.union(late).union(same))
+    members = _shared(bag.mapInArrow(_buckets, "bucket long, id long"), "id").checkpoint()
+    left = members.where("id != low")
+    linked = _verified(left.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), texts).select("a", "b").checkpoint()
+    pivots = 2
+    while True:
+        placed = left.select("bucket", "id").join(components(spark, linked), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        left = _shared(placed, "root").checkpoint()
+        if left.isEmpty():
+            break
+        n = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        chosen = left.withColumn("n", n).where(F.col("n") <= pivots).select("bucket", F.col("id").alias("pivot"), F.col("root").alias("pivot_root")).checkpoint()
+        pairs = left.join(chosen, "bucket").where("root != pivot_root").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+        linked = linked.union(_verified(pairs, texts).select("a", "b")).checkpoint()
+        left = left.join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
+        pivots = min(2 * pivots, MOST_PIVOTS)
+    found = components(spark, linked.union(same))
     return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
 
 
