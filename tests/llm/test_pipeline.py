@@ -53,7 +53,7 @@ def test_awkward_documents_through_all_stages(spark, tmp_path):
     """Nulls, empty and very long texts, repeated rows, and columns named like the operators' own."""
     bad = [(100 + i, f"a day like others {i} you utter zoxquav and mirfeltz today {i * 7}") for i in range(30)]
     fine = [(200 + i, f"thing{i} one{i * 3} of{i} the plain{i} texts of the {i} corpus{i * 5}") for i in range(60)]
-    docs = table((1, None), (2, ""), (3, " \n\n"), (4, "word"), (4, "word"), (None, "no id here but words"), (5, LONG), (6, LONG), (7, "before " + ITEM + " after"), (8, ITEM.replace("item9 ", "other ") + "\nsecond line of it here"), *bad, *fine)
+    docs = table((1, None), (2, ""), (3, " \n\n"), (4, "word"), (4, "word"), (None, "no id here but words"), (5, LONG), (6, LONG), (7, "before " + ITEM + " after"), (8, ITEM.replace("item9 ", "other ").replace("item15 ", "item15\n") + "\nsecond line of it here"), *bad, *fine)
     sf = folder(spark, tmp_path, docs, [(1, ITEM), (2, None), (None, "x y z")], [(i, 1, 1) for i, _ in bad[:20]] + [(i, 1, 0) for i, _ in fine] + [(4, None, None), (None, 1, 1)])
     kept = textops.documents(spark, sf)
     seen = []
