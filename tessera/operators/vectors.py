@@ -95,6 +95,7 @@ def in_blocks(queries: DataFrame, rows: DataFrame, fn: Callable[[pd.DataFrame, p
 
         return rows.mapInPandas(run, schema)
     m = math.ceil(max(size / BROADCAST_BYTES, n / BLOCK_ROWS))
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # both sides may be of one table
     k = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     q = queries.withColumn("__q", F.pmod(F.xxhash64(queries.columns[0]), F.lit(m)).cast("int")).withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     v = rows.withColumn("__v", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(k)).cast("int")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))

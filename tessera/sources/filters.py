@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -54,6 +55,9 @@ def contains(wanted: dict, metadata: str = "metadata") -> Column:
     """JSON containment: the VARIANT metadata has every key of `wanted`, at any depth, with an equal scalar, a containing object, or an
     array that has every element asked for."""
 
+    def member(want: object) -> Callable[[Column], Column]:
+        return lambda v: inner(v, want)
+
     def inner(v: Column, want: object) -> Column:
         if isinstance(want, dict):
             out = F.schema_of_variant(v).startswith("OBJECT")
@@ -63,7 +67,7 @@ def contains(wanted: dict, metadata: str = "metadata") -> Column:
         if isinstance(want, (list, tuple)):
             out = F.schema_of_variant(v).startswith("ARRAY")
             for value in want:
-                out = out & F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda x, value=value: inner(x, value))
+                out = out & F.exists(F.try_variant_get(v, "$", "array<variant>"), member(value))
             return out
         if want is None:
             return v.isNotNull() & F.is_variant_null(v)

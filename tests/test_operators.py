@@ -349,8 +349,10 @@ def test_cosine_pairs_in_blocks(spark, monkeypatch):
 
 def test_locate():
     t = "One  two\nthree. One two three."
-    assert chunking.locate(t, "One two three") == (17, 30) and chunking.locate(t, "One two three", 18) == (17, 30)
-    assert chunking.locate(t, "two three", 0, early=True) == (5, 14) and chunking.locate(t, "two three") == (21, 30)
+    assert chunking.locate(t, "One two three") == (16, 29) and chunking.locate(t, "One two three", 18) == (16, 29)
+    assert chunking.locate(t, "two three") == (20, 29) and chunking.locate(t, "two\nthree", 16) == (5, 14)
+    u = "two three. two\nthree."
+    assert chunking.locate(u, "two three", 5, early=True) == (11, 20) and chunking.locate(u, "two three", 5) == (0, 9)
     assert chunking.locate(t, "absent") is None and chunking.locate(t, "") is None and chunking.locate(t, "  ") == (3, 5)
 
 
