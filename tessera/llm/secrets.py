@@ -190,10 +190,13 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = Non
     """Fit on a bounded sample of `labelled` (sample string, is_secret boolean), or, where there are no labels, on
     SAMPLES random strings and as many identifiers made of the commonest words, counted over all documents."""
     if labelled is not None:
-        rows = labelled.where("sample is not null and is_secret is not null").select("sample", "is_secret").orderBy(F.xxhash64("sample"), "sample").limit(2 * SAMPLES).collect()
+        T.shared_folder(spark)
+        rows = labelled.where("sample is not null and is_secret is not null").select("sample", "is_secret").orderBy(F.xxhash64("sample"), "sample").limit(2 * SAMPLES).checkpoint().collect()
         return fit([r.sample for r in rows if r.is_secret], [r.sample for r in rows if not r.is_secret])
     words = T.prepared(docs, "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(4 * SAMPLES)
-    return fit(random_strings(SAMPLES), identifiers([r.w for r in words.collect()], SAMPLES))
+    # written first, since a limit that is collected sends as many rows of each partition to the driver
+    T.shared_folder(spark)
+    return fit(random_strings(SAMPLES), identifiers([r.w for r in words.checkpoint().collect()], SAMPLES))
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
