@@ -188,51 +188,70 @@ def in_slices(fn, schema: pa.Schema, column: str = "text"):
 FAN_IN = 128
 
 
+#: Entries of a table that are merged together.
+BLOCK = 1 << 18
+
+
 def merged_blocks(blocks: DataFrame, how: str) -> np.ndarray:
-    """Tables that tasks sent with as_blocks, merged: `or` of bits, or `log`, the logarithm of the sum.
+    """Tables that tasks sent, merged: with as_blocks, `or` of bits; with as_counts, `log`, the logarithm of the sum.
 
     Logarithms are bytes: 0 and 1 stand for a sum of 0 and 1, x >= 2 for about 2 ** ((x + 6) / 8). The merging is a tree of
-    FAN_IN tables to a group, and the result is as large as one task's table, whatever the input.
+    FAN_IN tables to a group, and the result is as large as one task's table, whatever the input; sums are made bytes before they leave the workers.
     """
     add = how == "log"
-    dtype = np.uint32 if add else np.uint8
-
-    def merge(table: pa.Table) -> pa.Table:
-        out = None
-        for data in table.column("data"):
-            x = np.frombuffer(zlib.decompress(data.as_py()), dtype)
-            if out is None:
-                out = x.astype(np.uint64 if add else dtype)
+
+    def merging(last: bool):
+        def merge(table: pa.Table) -> pa.Table:
+            out = np.zeros(BLOCK, np.uint64) if add else None
+            for data in table.column("data"):
+                raw = zlib.decompress(data.as_py())
+                if add:
+                    where, n = np.frombuffer(raw, np.uint32).reshape(2, -1)
+                    out[where] += n
+                elif out is None:
+                    out = np.frombuffer(raw, np.uint8).copy()
+                else:
+                    out |= np.frombuffer(raw, np.uint8)
+            if add and last:
+                out = np.where(out < 2, out, 2 + 8 * np.log2(np.maximum(out, 2) / 2)).astype(np.uint8)
             elif add:
-                out += x
-            else:
-                out |= x
-        if add:
-            out = np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
-        b, part = (table.column(c)[0].as_py() for c in ("block", "part"))
-        return pa.Table.from_pydict({"block": [b], "part": [part], "data": [zlib.compress(out.tobytes(), 1)]}, BLOCKS)
+                out = _sparse(where := np.flatnonzero(out), out[where])
+            b, part = (table.column(c)[0].as_py() for c in ("block", "part"))
+            return pa.Table.from_pydict({"block": [b], "part": [part], "data": [zlib.compress(out.tobytes(), 1)]}, BLOCKS)
+
+        return merge
 
     tasks = blocks.rdd.getNumPartitions()
     while True:
-        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(merge, "block int, part int, data binary")
+        last = tasks <= FAN_IN
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(merging(last), "block int, part int, data binary")
         tasks = -(-tasks // FAN_IN)
-        if tasks <= 1:
+        if last:
             break
-    def table(data: bytes) -> np.ndarray:
-        x = np.frombuffer(zlib.decompress(data), dtype)
-        return np.where(x < 2, x, 2 + 8 * np.log2(np.maximum(x, 2) / 2)).astype(np.uint8) if add else x
-
     rows = sorted((r.block, bytes(r.data)) for r in blocks.collect())
-    return np.concatenate([table(d) for _, d in rows]) if rows else np.zeros(0, np.uint8)
+    return np.concatenate([np.frombuffer(zlib.decompress(d), np.uint8) for _, d in rows]) if rows else np.zeros(0, np.uint8)
 
 
 BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
 
-def as_blocks(table: np.ndarray, block: int = 1 << 18) -> pa.RecordBatch:
-    parts = [zlib.compress(table[i : i + block].tobytes(), 1) for i in range(0, len(table), block)]
+def _blocks(parts: list[bytes]) -> pa.RecordBatch:
     part = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=BLOCKS)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array([zlib.compress(x, 1) for x in parts], pa.binary())], schema=BLOCKS)
+
+
+def as_blocks(table: np.ndarray, block: int = BLOCK) -> pa.RecordBatch:
+    return _blocks([table[i : i + block].tobytes() for i in range(0, len(table), block)])
+
+
+def _sparse(where: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.stack((where.astype(np.uint32), np.minimum(n, 0xFFFFFFFF).astype(np.uint32)))
+
+
+def as_counts(where: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    """Blocks of a table of `size` entries from its entries `where`, in order, that aren't 0."""
+    edges = np.searchsorted(where, np.arange(0, size + 1, BLOCK))
+    return _blocks([_sparse(where[i:j] - np.uint32(k * BLOCK), n[i:j]).tobytes() for k, (i, j) in enumerate(zip(edges[:-1], edges[1:]))])
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,55 @@ def test_line_dedup_second_partner(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in got} == {(2, 1)}
 
 
+def test_line_dedup_pairs_of_a_hot_token(spark, monkeypatch):
+    """One token in lines of many sizes: all pairs that can be similar are found, and few others are looked at."""
+    rng = np.random.default_rng(1)
+    looked, ranges = [0], linededup._ranges
+
+    def counting(low, high):
+        for i, j in ranges(low, high):
+            looked[0] += len(i)
+            yield i, j
+
+    monkeypatch.setattr(linededup, "_ranges", counting)
+    monkeypatch.setattr(linededup, "CHUNK_PAIRS", 1000)
+    n = 600
+    token, size, at = np.zeros(n, np.int64), rng.integers(3, 500, n), rng.integers(0, 3, n)
+    doc, line, signature = rng.integers(-50, 50, n), np.arange(n, dtype=np.int32), np.zeros(n, np.int64)
+    is_open = rng.random(n) < 0.1
+    want = set()
+    for x in range(n):
+        for y in range(x):
+            most = -(-linededup.NUM * (size[x] + size[y]) // (linededup.NUM + linededup.DEN))
+            if min(size[x], size[y]) * linededup.DEN >= max(size[x], size[y]) * linededup.NUM and min(size[x] - at[x], size[y] - at[y]) >= most:
+                want.add((x, y) if (doc[x], line[x]) > (doc[y], line[y]) else (y, x))
+    found = linededup._found(token, (size << 12) | at, doc, line, signature, None)
+    assert set(map(tuple, found.T.tolist())) == want and found.shape[1] == len(want)
+    assert looked[0] < n * (n - 1) / 2 / 3
+    looked[0] = 0
+    found = linededup._found(token, (size << 12) | at, doc, line, signature, is_open)
+    assert set(map(tuple, found.T.tolist())) == {p for p in want if is_open[p[0]]}
+    assert looked[0] < n * (n - 1) / 2 / 12
+
+
+def test_line_dedup_in_small_chunks(spark, docs, local, monkeypatch):
+    """Lists that go over batches and chunks stay whole, and token counts that are added up in parts."""
+    # functions of a module are sent to the workers by name, so that what is patched is called here
+    monkeypatch.setattr(linededup, "CHUNK_ROWS", 5)
+    rng = np.random.default_rng(2)
+    token = np.sort(rng.integers(0, 40, 400))
+    batch = pa.RecordBatch.from_pydict({"token": token, "shape": np.full(400, 9 << 12), "doc_id": np.arange(400), "line_no": np.zeros(400, np.int32), "signature": np.zeros(400, np.int64)})
+    got = [p for b in linededup._joined()(batch.slice(i, 7) for i in range(0, 400, 7)) for p in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+    assert sorted(got) == [(i, int(np.searchsorted(token, token[i]))) for i in range(400) if i and token[i] == token[i - 1]]
+    texts = docs.select("text").where("text is not null")
+    counts = Counter()
+    for _, text in local:
+        counts.update(linededup._bucket(textops.words([text]).hash).tolist())
+    table = textops.merged_blocks(texts.repartition(300).mapInArrow(linededup._count, "block int, part int, data binary"), "log")
+    assert len(table) == linededup.BUCKETS and np.count_nonzero(table) == len(counts)
+    assert all(table[k] == (n if n < 2 else int(2 + 8 * np.log2(n / 2))) for k, n in counts.items())
+
+
 def multiset(text):
     w = re.findall(r"[^\W_]+", text.lower())
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
