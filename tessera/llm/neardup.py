@@ -15,7 +15,7 @@ its length.
 Signatures are cut into BANDS. Documents with equal bags are represented by one. In
 each bucket of a band, every member is compared with the least one, by the exact
 overlap of the multisets. A member that all others were compared with leaves the bucket. While what is
-left of a bucket holds different components, its members are compared with its least two, then four, and so on,
+left of a bucket holds different components, its members are compared with its least two, then 16, and so on,
 unless they are connected already. So each pair that shares a bucket is either compared or connected, and a
 bucket of thousands of copies takes about as many comparisons as it has members.
 
@@ -28,9 +28,11 @@ either may link them; of a group the least doc_id stays; other columns are ignor
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textops as T
 from ..operators.dedup import components
@@ -41,6 +43,8 @@ COMPONENTS = BANDS * ROWS
 SIMILARITY = 0.5
 #: Members of a bucket that the others are compared with in one round, at most; the number of rounds has no limit.
 MOST_PIVOTS = 512
+#: Bits of the table of documents whose texts are asked for; edges whose components one task finds.
+ASKED, FEW_EDGES = 1 << 26, 1 << 20
 _ELEMENT = np.uint64(44)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,16 +165,85 @@ def _buckets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.repeat(part.column("id").to_numpy(), BANDS))], schema=schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+def _similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """overlaps() of the pairs, with each different text cut into its bag only once."""
+    number: dict[str, int] = {}
+    i, j = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (a, b))
+    doc, element, count = bags(list(number))
+    start = np.searchsorted(doc, np.arange(len(number) + 1))
+    sizes = np.bincount(doc, count, len(number))
+    out = np.zeros(len(i))
+    for n, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        p, q = slice(start[x], start[x + 1]), slice(start[y], start[y + 1])
+        if p.stop == p.start or q.stop == q.start:
+            continue
+        # both are in order, so one is looked up in the other
+        at = np.minimum(np.searchsorted(element[q], element[p]), q.stop - q.start - 1)
+        shared = np.minimum(count[p], count[q][at])[element[q][at] == element[p]].sum()
+        out[n] = shared / (sizes[x] + sizes[y] - shared)
+    return out
 
-    def rows(batch, texts):
-        return batch.column("a"), batch.column("b"), overlaps(texts, [t or "" for t in batch.column("text_b").to_pylist()])
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(T.in_slices(rows, schema, "text_a"), "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
+def _asked(spark: SparkSession, pairs: DataFrame):
+    """A condition on doc_id that holds for all documents of the pairs and, by a bitmap of fixed size, for few others."""
+
+    def mark(batches):
+        bits = np.zeros(ASKED // 8, np.uint8)
+        for batch in batches:
+            for c in ("a", "b"):
+                k = (T.mix(batch.column(c).to_numpy().view(np.uint64)) % np.uint64(ASKED)).astype(np.int64)
+                np.bitwise_or.at(bits, k >> 3, (1 << (k & 7)).astype(np.uint8))
+        if bits.any():
+            yield T.as_blocks(bits)
+
+    bits = spark.sparkContext.broadcast(T.merged_blocks(pairs.select("a", "b").mapInArrow(mark, "block int, part int, data binary"), "or"))
+
+    @F.pandas_udf("boolean")
+    def asked(ids: pd.Series) -> pd.Series:
+        k = (T.mix(ids.to_numpy(np.int64).view(np.uint64)) % np.uint64(ASKED)).astype(np.int64)
+        return pd.Series((bits.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 if len(bits.value) else np.zeros(len(k))).astype(bool)
+
+    return asked("doc_id")
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b), with their other columns, whose documents are similar enough. Only their texts are shuffled."""
+    schema = to_arrow_schema(pairs.schema).append(pa.field("similarity", pa.float64()))
+    columns = pairs.columns
+
+    def rows(batch, texts):
+        return *(batch.column(c) for c in columns), _similarities(texts, [t or "" for t in batch.column("text_b").to_pylist()])
+
+    some = texts.where(_asked(spark, pairs))
+    joined = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = joined.select(*columns, "text_a", "text_b")
+    return joined.mapInArrow(T.in_slices(rows, schema, "text_a"), ", ".join(f"{c} long" for c in columns) + ", similarity double").where(F.col("similarity") >= SIMILARITY).drop("similarity")
+
+
+def _roots(batches):
+    """components() of edges that one task can hold."""
+    sides = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not sides:
+        return
+    a, b = (np.concatenate(x) for x in zip(*sides))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(open_ := np.flatnonzero(root[u] != root[v])):
+        u, v = root[u[open_]], root[v[open_]]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    schema = pa.schema([("id", pa.int64()), ("root", pa.int64())])
+    for i in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(ids[root[i : i + 100_000]])], schema=schema)
+
+
+def _components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """components() of a table that is written; up to FEW_EDGES in one task, without rounds."""
+    if edges.limit(FEW_EDGES + 1).count() > FEW_EDGES:
+        return components(spark, edges)
+    return edges.select("a", "b").coalesce(1).mapInArrow(_roots, "id long, root long")
 
 
 def _shared(rows: DataFrame, value: str) -> DataFrame:
@@ -192,20 +265,27 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bag = sketch.groupBy("bag").agg(F.min(F.struct(F.col("doc_id").alias("id"), "bands")).alias("s")).select("s.id", "s.bands")
     members = _shared(bag.mapInArrow(_buckets, "bucket long, id long"), "id").checkpoint()
     left = members.where("id != low")
-    linked = _verified(left.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), texts).select("a", "b").checkpoint()
+    tried = left.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct().checkpoint()
+    linked = _verified(spark, tried, texts).checkpoint()
+    placed = left.select("bucket", "id").join(_components(spark, linked), "id", "left").withColumn("root", F.coalesce("root", "id"))
     pivots = 2
     while True:
-        placed = left.select("bucket", "id").join(components(spark, linked), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        left = _shared(placed, "root").checkpoint()
+        left = _shared(placed, "root").drop("low").checkpoint()
         if left.isEmpty():
             break
         n = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
         chosen = left.withColumn("n", n).where(F.col("n") <= pivots).select("bucket", F.col("id").alias("pivot"), F.col("root").alias("pivot_root")).checkpoint()
-        pairs = left.join(chosen, "bucket").where("root != pivot_root").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        linked = linked.union(_verified(pairs, texts).select("a", "b")).checkpoint()
+        pairs = left.join(chosen, "bucket").where("root != pivot_root").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"), F.greatest("root", "pivot_root").alias("root_a"), F.least("root", "pivot_root").alias("root_b"))
+        # a pair that another bucket has had compared isn't compared again
+        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti").checkpoint()
+        new = _verified(spark, pairs, texts).checkpoint()
+        tried, linked = tried.union(pairs.select("a", "b")), linked.union(new.select("a", "b"))
         left = left.join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        pivots = min(2 * pivots, MOST_PIVOTS)
-    found = components(spark, linked.union(same))
+        # only groups that this round links get another root
+        merged = _components(spark, new.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        placed = left.join(merged.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("bucket", "id", F.coalesce("to", "root").alias("root"))
+        pivots = min(8 * pivots, MOST_PIVOTS)
+    found = _components(spark, linked.union(same).checkpoint())
     return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
 
 

@@ -185,6 +185,37 @@ def test_near_duplicates_in_one_bucket_but_apart(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0}
 
 
+def test_near_duplicates_compares_a_pair_once(spark, monkeypatch):
+    """Documents that share buckets and are apart: no pair is compared again for another bucket, and linked ones are found among them."""
+    core = [f"c{i}" for i in range(60)]
+    texts = [" ".join(core + [f"u{i}x{k}" for k in range(44)]) for i in range(30)] + [" ".join(core + [f"u7x{k}" for k in range(40)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    verified, compared = neardup._verified, []
+
+    def counting(*args):
+        pairs = next(x for x in args if {"a", "b"} <= set(getattr(x, "columns", ())))
+        compared.extend((r.a, r.b) for r in pairs.select("a", "b").distinct().collect())
+        return verified(*args)
+
+    monkeypatch.setattr(neardup, "_verified", counting)
+    # the shared words are 0.4 of what two of them have, so that most pairs share a bucket
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark, docs).collect()}
+    assert got == {7: 7, 30: 7}
+    assert len(compared) == len(set(compared)) > 100
+
+
+def test_near_duplicate_helpers(spark, monkeypatch):
+    """Similarities of repeated texts, and components in one task and in rounds."""
+    random.seed(5)
+    texts = [" ".join(random.choice("abcdefghij") for _ in range(n)) for n in (0, 1, 2, 9, 40, 80, 300)]
+    a, b = zip(*((x, y) for x in texts for y in texts))
+    assert np.allclose(neardup._similarities(list(a), list(b)), neardup.overlaps(list(a), list(b)))
+    edges = spark.createDataFrame([(random.randrange(-90, 90), random.randrange(-90, 90)) for _ in range(70)], "a long, b long").where("a != b").checkpoint()
+    few = set(map(tuple, neardup._components(spark, edges).collect()))
+    monkeypatch.setattr(neardup, "FEW_EDGES", 3)
+    assert few == set(map(tuple, neardup._components(spark, edges).collect()))
+
+
 def test_decontamination(spark, docs, local):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, docs, bench).collect()}
