@@ -363,6 +363,30 @@ def test_length_histogram(spark, docs, local):
         assert r.quantile == pytest.approx(sum(x <= r.length for x in lengths) / len(lengths))
 
 
+def test_token_counts_encode_new_pieces_at_once(monkeypatch):
+    """A slice's new pieces take one call of the encoder, not one each, and have the counts of the encoder, whatever stands beside them."""
+    e, calls = tokens.encoder(tokens.VOCABULARY), []
+
+    class Spy:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return e.encode_ordinary(text)
+
+    texts = [" ".join(f"wörd{i:x}" for i in range(2000)), "\n".join(f"{i}ab###" for i in range(500))]
+    texts += ["", "\n", "it's don't 'll''ve ' 's", "'s", " 's\n's", "\x1c\x1d x\x85y z\u200bq\u3000w\u180e a", "  two   spaces \r\n\t x", "\U0001f600 \ud800x \udc00", "".join(map(chr, range(0x2000, 0x2100))), " ".join(map(chr, range(1, 0x3000)))]
+    want = [len(e.encode_ordinary(t)) for t in texts]
+    c = tokens.Counter()
+    c.encoder = Spy()
+    assert c.count(texts[:1]).tolist() == want[:1] and len(calls) < 5
+    assert c.count(texts).tolist() == want and c.count(texts[::-1]).tolist() == want[::-1]
+    c = tokens.Counter()
+    c.widths = c.widths + 1  # tokens that don't fit the pieces: each is encoded by itself
+    assert c.count(texts).tolist() == want
+    monkeypatch.setattr(tokens, "KEPT", 100)
+    c = tokens.Counter()
+    assert [c.count([t])[0] for t in texts + texts] == want + want and len(c.known) <= 100
+
+
 def test_token_counts_awkward(spark, awkward, nothing):
     got = tokens.token_counts(spark, awkward).collect()
     assert sum(r.n_docs for r in got) == len(AWKWARD) and [r.n_docs for r in got if r.length == 0] == [2]
