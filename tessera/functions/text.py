@@ -123,14 +123,16 @@ def keyword_tokens(text: Column | str, min_length: int = 4, extra_stop: Sequence
     return F.filter(parts, lambda t: (F.char_length(t) >= min_length) & ~F.array_contains(stop, t))
 
 
-def near_term(term: Column, candidate: Column) -> Column:
+def near_term(term: Column, candidate: Column, by_bytes: bool = False) -> Column:
     """Whether a candidate of seven characters or more lies within an edit distance of 1 of the term, 2 if the TERM has ten or more.
 
     One trailing s is dropped from each. Shorter terms match nothing, not even themselves; so the rule is a directed one.
+    by_bytes: edits are of the words' UTF-8 bytes, as DuckDB counts them, and not of characters; lengths still are of characters.
     """
     x, y = F.regexp_replace(F.lower(_col(term)), "s$", ""), F.regexp_replace(_col(candidate), "s$", "")
     size = F.char_length(x)
-    return (size >= 7) & (F.char_length(y) >= 7) & (F.levenshtein(x, y) <= F.when(size >= 10, 2).otherwise(1))
+    unit = (lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")) if by_bytes else (lambda c: c)  # a character for each byte
+    return (size >= 7) & (F.char_length(y) >= 7) & (F.levenshtein(unit(x), unit(y)) <= F.when(size >= 10, 2).otherwise(1))
 
 
 def _winkler(a: str, b: str) -> float:
