@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical
+from ..operators.vectors import BROADCAST_BYTES, measured
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -35,9 +36,22 @@ def bm25_run(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is relevant to a benchmark item that it contains word for word."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # by the item's first 12 characters would still be a nested loop; a word that both have makes it an equi-join
-    word = F.element_at(F.array_sort(F.split(F.col("item"), r"\s+"), lambda a, b: F.char_length(b) - F.char_length(a)), 1)
-    i = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).withColumn("w", word)
-    d = docs.select("doc_id", "text", F.col("source").alias("topic"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    return d.join(i, "w").where(F.col("text").contains(F.col("item"))).select("query_id", "doc_id", F.lit(1.0).alias("relevance"), "topic").distinct()
+    return contained(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, sf_dir, "documents"))
+
+
+def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, relevance, topic) of the documents whose text contains an item's (query_id, text), letter by letter.
+
+    Only an item's inner words must be whole words of such a document, as the first and the last may be parts of longer ones; so pairs meet
+    by the longest inner word, and only items without one are held against every text.
+    """
+    inner = F.slice(F.split("item", r"\s+"), 2, F.greatest(F.size(F.split("item", r"\s+")) - 2, F.lit(0)))
+    i = items.select("query_id", F.col("text").alias("item")).where("item is not null").select("query_id", "item", F.array_sort(inner, lambda a, b: F.char_length(b) - F.char_length(a)).alias("w"))
+    i = i.select("query_id", "item", F.get("w", F.lit(0)).alias("w"))
+    _, size = measured(i)
+    small = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
+    d = docs.select("doc_id", "text", F.col("source").alias("topic"))
+    words = d.select("doc_id", "text", "topic", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
+    found = words.join(small(i.where("w is not null")), "w").where(F.col("text").contains(F.col("item")))
+    short = d.crossJoin(small(i.where("w is null"))).where(F.col("text").contains(F.col("item")))
+    return found.select("query_id", "doc_id", "topic").union(short.select("query_id", "doc_id", "topic")).distinct().select("query_id", "doc_id", F.lit(1.0).alias("relevance"), "topic")
