@@ -52,6 +52,11 @@ def measured(rows: DataFrame) -> tuple[int, int]:
     return r.n, r.b
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """The rows, marked to be broadcast if they are of BROADCAST_BYTES at most, after they were measured."""
+    return F.broadcast(rows) if measured(rows)[1] <= BROADCAST_BYTES else rows
+
+
 def paired(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Every query with every vector. Queries of BROADCAST_BYTES at most are broadcast, after they were measured; more meet the vectors in
     as many blocks as keep a block's queries below that."""
@@ -116,6 +121,20 @@ def best_places(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(scores >= least)
 
 
+def first_places(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of its row's k highest scores; of equal ones, those of the lower columns."""
+    if k <= 0 or not scores.size:
+        return np.zeros(0, int), np.zeros(0, int)
+    i, j = best_places(scores, k)
+    if k < scores.shape[1]:
+        start = np.searchsorted(i, np.arange(len(scores)))
+        tied = scores[i, j] == np.minimum.reduceat(scores[i, j], start)[i]
+        before = np.cumsum(tied) - tied
+        keep = ~tied | (before - before[start][i] < k - np.bincount(i, ~tied, len(scores))[i])
+        i, j = i[keep], j[keep]
+    return i, j
+
+
 def _types(df: DataFrame, names: list[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"{c} {kinds[c]}" for c in names)

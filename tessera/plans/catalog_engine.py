@@ -12,6 +12,7 @@ from ..engine import Engine, Options
 from ..functions.text import hashing_vectors
 from ..functions.tokenizer import Tokenizer
 from ..operators import chunking, search
+from ..operators.vectors import small
 from ..sources.shared import shared_folder
 from ..sources.store import ChunkStore
 from .catalog_text import BM25_CTE
@@ -70,7 +71,8 @@ def optimal_sample(spark, d):
 u AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b)
 SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_blocks FROM u WHERE used <= 1500 GROUP BY 1""")
 def context_block(spark, d):
-    hits = bm25_run(spark, d).join(table(spark, d, "documents"), "doc_id").select("query_id", "rank", F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("content"))
+    hits = table(spark, d, "documents").join(small(bm25_run(spark, d)), "doc_id")
+    hits = hits.select("query_id", "rank", F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("content"))
     return search.context(hits, 1500, F.size(F.split(F.trim("content"), r"\s+")))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical
-from ..operators.vectors import BROADCAST_BYTES, measured
+from ..operators.vectors import small
+from ..sources.shared import shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -30,13 +31,18 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    scored = lexical.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
-    return lexical.top_k(scored.withColumn("score", F.round("score", 6)), k)
+    return two_lanes(spark, sf_dir, k, ("bm25",)).select("query_id", "doc_id", "score", "rank")
+
+
+def two_lanes(spark: SparkSession, sf_dir: str, k: int = 10, sources: tuple[str, ...] = ("bm25", "keyword")) -> DataFrame:
+    """(query_id, source, doc_id, score, rank) of the benchmark's items over the documents."""
+    return lexical.lanes(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k, sources=sources)
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is relevant to a benchmark item that it contains word for word."""
-    return contained(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, sf_dir, "documents"))
+    shared_folder(spark)
+    return contained(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, sf_dir, "documents")).checkpoint()  # few rows, which measures read several times
 
 
 def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -48,8 +54,6 @@ def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
     inner = F.slice(F.split("item", r"\s+"), 2, F.greatest(F.size(F.split("item", r"\s+")) - 2, F.lit(0)))
     i = items.select("query_id", F.col("text").alias("item")).where("item is not null").select("query_id", "item", F.array_sort(inner, lambda a, b: F.char_length(b) - F.char_length(a)).alias("w"))
     i = i.select("query_id", "item", F.get("w", F.lit(0)).alias("w"))
-    _, size = measured(i)
-    small = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
     d = docs.select("doc_id", "text", F.col("source").alias("topic"))
     words = d.select("doc_id", "text", "topic", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
     found = words.join(small(i.where("w is not null")), "w").where(F.col("text").contains(F.col("item")))
