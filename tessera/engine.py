@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import hashing_embedding
 from .operators import chunking, lexical, scoring, search
-from .operators.vectors import paired
+from .operators.vectors import small
 from .sources.filters import checked, matches
 from .sources.shared import shared_folder
 from .sources.store import ChunkStore
@@ -46,7 +46,6 @@ class Engine:
         rows = chunking.result_rows(docs, self.strategy, self.size, self.overlap)
         rows = rows.withColumn("embedding", self.embed(F.col("content")).cast("array<double>")).withColumn("metadata", F.to_json("metadata")).withColumn("index_identity", F.lit(self.identity))
         shared_folder(self.spark)
-        rows = rows.checkpoint()  # cut and embedded once, then checked and written
         self.store.replace_documents(docs.select(F.col("id").alias("document_id")), rows)
         return self.store.read().join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").count()
 
@@ -54,12 +53,9 @@ class Engine:
         rows = self.store.read().withColumn("metadata", F.parse_json(F.coalesce("metadata", F.lit("{}"))))
         return (rows.where(matches(checked(filters))) if filters else rows).drop("metadata")
 
-    def _pairs(self, queries: DataFrame, filters: dict | None) -> DataFrame:
+    def _sides(self, queries: DataFrame, filters: dict | None) -> tuple[DataFrame, DataFrame]:
         q = queries.where(F.coalesce(F.trim("query"), F.lit("")) != "").select("query_id", "query", self.embed(F.col("query")).cast("array<double>").alias("q"))
-        rows = self._rows(filters).withColumnRenamed("embedding", "v")
-        both = scoring.raw_signals(paired(scoring.with_tokens(q, "query"), scoring.with_tokens(rows, "content")))
-        # what is ranked are ids and signals; texts come back for the results only
-        return both.select("query_id", "query", "id", "raw_embedding", "raw_keyword", "raw_filename", "recency_score", "importance_score")
+        return q, self._rows(filters).withColumnRenamed("embedding", "v")
 
     def search(self, queries: DataFrame, options: Options = Options()) -> DataFrame:
         """(query_id, rank, id, document_id, filename, content, score[, explain, rerank, mmr]) of the best chunks; blank queries have no rows.
@@ -69,12 +65,14 @@ class Engine:
         Candidates are cut by the default weights; what survives is calibrated anew and scored by the options' weights; then
         comes the reranker, then diversification or the cut to top_k.
         """
-        pairs = self._pairs(queries, options.filters)
-        found = self._fused(pairs, options) if options.rrf else self._hybrid(pairs, options)
+        sides = self._sides(queries, options.filters)
+        found = self._fused(*sides, options) if options.rrf else self._hybrid(*sides, options)
         k = options.top_k
         found = found.select("query_id", "query", "id", "score", *(["explain"] if options.explain else []), F.col("place").alias("rank"))
         if k is not None and options.mmr is None and not options.reranker:
             found = found.where(F.col("rank") <= max(k, 0))
+        if options.candidates and options.candidates > 0:
+            found = small(found.checkpoint())  # few rows, to which the texts come
         found = found.join(self.store.read().select("id", "document_id", "filename", "content", F.col("embedding").alias("v")), "id")
         if options.reranker:
             found = search.rerank(found, options.reranker).drop("rank")
@@ -88,26 +86,27 @@ class Engine:
             found = found.where(F.col("rank") <= max(k, 0))
         return found.drop("v", "query")
 
-    def _hybrid(self, pairs: DataFrame, o: Options) -> DataFrame:
-        if o.candidates and o.candidates > 0:
-            kept = scoring.hybrid(pairs).where(F.col("hybrid_rank") <= o.candidates).select("query_id", "id")
-            pairs = pairs.join(kept, ["query_id", "id"], "left_semi")
-        return scoring.hybrid(pairs, o.weights, o.adaptive, trace=o.explain).withColumn("place", F.col("hybrid_rank"))
+    def _hybrid(self, queries: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
+        # what is ranked are ids and signals; texts come back for the results only
+        pairs = scoring.best_pairs(queries, rows, o.candidates).drop("lane", "score", "hybrid_rank") if o.candidates and o.candidates > 0 else scoring.signals(queries, rows)
+        return scoring.hybrid(pairs.join(queries.select("query_id", "query"), "query_id"), o.weights, o.adaptive, trace=o.explain).withColumn("place", F.col("hybrid_rank"))
 
-    def _fused(self, pairs: DataFrame, o: Options) -> DataFrame:
+    def _fused(self, queries: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
         """Two lanes, vectors only and text only, fused by rank; scores are scaled so that a first place everywhere is 1."""
-        lanes = []
-        for name, w in (("vector", scoring.Weights(1, 0, 0)), ("text", scoring.Weights(0, 1, 0))):
-            lane = scoring.hybrid(pairs, w).select("query_id", "id", F.lit(name).alias("source"), F.col("hybrid_rank").alias("rank"))
-            lanes.append(lane.where(F.col("rank") <= o.candidates) if o.candidates and o.candidates > 0 else lane)
-        both = lanes[0].union(lanes[1])
+        weights = {"vector": scoring.Weights(1, 0, 0), "text": scoring.Weights(0, 1, 0)}
+        if o.candidates and o.candidates > 0:
+            both = scoring.best_pairs(queries, rows, o.candidates, weights).select("query_id", "id", F.col("lane").alias("source"), F.col("hybrid_rank").alias("rank"))
+        else:
+            pairs = scoring.signals(queries, rows).withColumn("query", F.lit(""))
+            lanes = [scoring.hybrid(pairs, w).select("query_id", "id", F.lit(name).alias("source"), F.col("hybrid_rank").alias("rank")) for name, w in weights.items()]
+            both = lanes[0].union(lanes[1])
         n = both.groupBy("query_id").agg(F.count_distinct("source").alias("n"))
         k = o.rrf_k if o.rrf_k > 0 else lexical.RRF_K
         fused = lexical.rrf(both, k).join(n, "query_id").select("query_id", "id", (F.col("score") * (k + 1) / F.col("n")).alias("score"), F.col("rank").alias("place"))
         if o.explain:
             at = both.groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("source", "rank"))).alias("explain"))
             fused = fused.join(at, ["query_id", "id"])
-        return fused.join(pairs, ["query_id", "id"])
+        return fused.join(queries.select("query_id", "query"), "query_id")
 
     def context(self, results: DataFrame, budget: int) -> DataFrame:
         """Text blocks for each query from its results, within a budget of words."""
