@@ -489,22 +489,20 @@ def hashing_vectors(texts, dim: int = 256) -> list[np.ndarray]:
 
     dim = dim if dim > 0 else 256
     pattern = regex.compile(r"[\p{L}\p{Nd}]+")
-    cache: dict[str, tuple[int, int]] = {}
-
-    def one(t):
-        v = np.zeros(dim)
-        words = pattern.findall((t or "").lower())
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            h = fnv1a([w.encode() for w in new])
-            cache.update(zip(new, zip((h % np.uint64(dim)).astype(int).tolist(), np.where(h >> np.uint64(63), -1, 1).tolist())))
-        for w in words:
-            i, s_ = cache[w]
-            v[i] += s_
-        norm = math.sqrt(float((v * v).sum()))
-        return (v / norm if norm else v).astype(np.float32)
-
-    return [one(t) for t in texts]
+    known: dict[str, int] = {}  # the words of this call in order, hashed together
+    texts, out, places, signs = list(texts), [], np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(texts), 1000):
+        found = [[known.setdefault(w, len(known)) for w in pattern.findall((t or "").lower())] for t in texts[at : at + 1000]]
+        if len(known) > len(places):
+            h = fnv1a([w.encode() for w in list(known)[len(places) :]])
+            places = np.concatenate([places, (h % np.uint64(dim)).astype(np.int64)])
+            signs = np.concatenate([signs, np.where(h >> np.uint64(63), -1.0, 1.0)])
+        words = np.array([w for ws in found for w in ws], np.int64)
+        row = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
+        v = np.bincount(row * dim + places[words], signs[words], len(found) * dim).reshape(-1, dim)  # whole numbers, so exact in any order
+        norm = np.sqrt((v * v).sum(1))[:, None]
+        out += list((v / np.where(norm > 0, norm, 1)).astype(np.float32))
+    return out
 
 
 def hashing_embedding(text: Column | str, dim: int = 256) -> Column:
